@@ -17,6 +17,12 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from overlapse.llm.katz import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from overlapse.llm.quality_rules import quality_verdicts
 
