@@ -23,6 +23,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from overlapse.llm.line_dedup import line_verdicts
+
+    return line_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from overlapse.llm.quality_rules import quality_verdicts
 
