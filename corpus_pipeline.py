@@ -10,30 +10,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from overlapse.llm.line_dedup import line_filter
+from overlapse.llm.mixing import mix_documents
+from overlapse.llm.packing import pack_documents
 from overlapse.llm.quality_rules import quality_filter
 from overlapse.llm.simhash import simhash_filter
 from overlapse.workspace import materialise
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and lie within the fences of their language and source."""
     return quality_filter(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand earlier in the corpus, equal or within two edits."""
+    return line_filter(docs)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies."""
     return simhash_filter(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once or more: small sources are repeated, up to the operator's limit."""
+    return mix_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
+    ("line dedup", line_stage),
     ("simhash near-dedup", simhash_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs, f"pipeline-{i}")

@@ -35,6 +35,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from overlapse.llm.packing import pack_documents
+
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from overlapse.llm.simhash import simhash_groups
 
@@ -51,6 +61,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | Non
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path, limit=1024)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from overlapse.llm.mixing import mix_schedule
+
+    return mix_schedule(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from overlapse.llm.exact_topk import exact_topk
 
