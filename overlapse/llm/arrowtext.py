@@ -32,6 +32,8 @@ def words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     keep = pc.not_equal(flat, "")
+    if pc.all(keep, min_count=0).as_py():
+        return flat, offsets
     before = np.concatenate(([0], np.cumsum(keep.to_numpy(zero_copy_only=False), dtype=np.int64)))
     return flat.filter(keep), before[offsets]
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,46 +34,99 @@ BLOCK_DOCS = 2000
 #: Sequences of one tier that make up a step.
 STEP = 8
 END_ID = 1
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+#: Bytes of text whose distinct words are encoded together.
+SHARED_BYTES = 24 << 20
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Words of these letters, with marks after them at most, are one or two pieces for the pre-tokenizer.
+PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[.,;:!?*%#$&]*$"
+MARKED = r"[.,;:!?*%#$&]$"
+#: Plain words that are encoded as one text.
+TOGETHER = 512
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+class WordEncoder:
+    """Ids of distinct words. For a pre-tokenizer that drops white space, a text's ids are its words' ids in turn."""
 
-def encode_texts(text: pa.Array, encode: Callable[[list[str]], list[list[int]]], cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each followed by END_ID, and n + 1 offsets.
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    For tokenizers whose pre-tokenizer drops white space, a text's ids are those of its
-    words in turn, so that each distinct word is encoded once.
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        if suffix:
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
+
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one word after the other, and how many each has.
+
+        Plain words are encoded many at a time; where one ends is told by the tokens that
+        end a word. All other words are encoded one by one.
+        """
+        plain = pc.match_substring_regex(names, PLAIN).to_numpy(zero_copy_only=False) if self.ends.any() else np.zeros(len(names), dtype=bool)
+        sizes = np.zeros(len(names), dtype=np.int64)
+        parts: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        at = np.flatnonzero(plain)
+        if len(at):
+            some = names.take(pa.array(at))
+            pieces = 1 + pc.match_substring_regex(some, MARKED).to_numpy(zero_copy_only=False).astype(np.int64)
+            words_ = some.to_pylist()
+            texts = [" ".join(words_[i : i + TOGETHER]) for i in range(0, len(words_), TOGETHER)]
+            ids = np.concatenate([np.array(x, dtype=np.uint32) for i in range(0, len(texts), 64) for x in self._each(texts[i : i + 64])])
+            last = np.flatnonzero(self.ends[ids])  # the end of each piece
+            stop = last[np.cumsum(pieces) - 1] + 1
+            sizes[at] = np.diff(stop, prepend=0)
+            parts.append(ids)
+            places.append(at)
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            found = self._each(names.take(pa.array(rest)).to_pylist())
+            sizes[rest] = [len(x) for x in found]
+            parts.append(np.concatenate([np.array(x, dtype=np.uint32) for x in found]))
+            places.append(rest)
+        # bring both kinds into the order of the words
+        flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+        place = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
+        before = np.cumsum(sizes[place]) - sizes[place]
+        start = np.empty(len(names), dtype=np.int64)
+        start[place] = before
+        return flat[ragged(start, sizes)], sizes
+
+
+def ragged(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each run, one run after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(start - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+
+
+def encode_texts(text: pa.Array, encoder: WordEncoder) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, ids, offsets) for a few megabytes at a time: ids of each text, followed by END_ID.
+
+    Each distinct word of all texts is encoded once.
     """
-    flat, offsets = words(text)
-    coded = flat.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    new = [w for w in names if w not in cache]
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = names
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, ids in zip(part, encode(part), strict=True):
-            cache[w] = np.array(ids, dtype=np.uint32)
-    pieces = [cache[w] for w in names] + [np.array([END_ID], dtype=np.uint32)]
-    sizes = np.array([len(x) for x in pieces], dtype=np.int64)
+    steps = list(byte_steps(text))
+    split = [words(text.slice(a, b - a)) for a, b in steps]
+    coded = pa.chunked_array([x for x, _ in split], pa.string()).dictionary_encode()
+    names = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
+    pool, sizes = encoder(names)
+    pool, sizes = np.append(pool, np.uint32(END_ID)), np.append(sizes, 1)
     start = np.cumsum(sizes) - sizes
-    pool = np.concatenate(pieces)
-    codes = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(names))
-    n = sizes[codes]
-    upto = np.concatenate(([0], np.cumsum(n)))
-    ids = pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])]
-    return ids, upto[offsets + np.arange(len(offsets))]
+    codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) if coded.num_chunks else np.zeros(0, dtype=np.int32)
+    done = 0
+    for (a, b), (flat, offsets) in zip(steps, split, strict=True):
+        own = np.insert(codes[done : done + len(flat)].astype(np.int64), offsets[1:], len(names))
+        done += len(flat)
+        n = sizes[own]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        yield a, b, pool[ragged(start[own], n)], upto[offsets + np.arange(len(offsets))]
 
 
 def pack_block(lengths: list[int], limit: int = LIMIT, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -90,7 +143,7 @@ def pack_block(lengths: list[int], limit: int = LIMIT, tiers: tuple[int, ...] =
         floor = tiers[k + 1] if k + 1 < len(tiers) else 0
         while pool and pool[-1][0] > floor:
             if sum_below(pool, size) < size:
-                break
+                return sequences + powers(pool, limit)
             n, d, s = pool.pop()
             window, gap = [(d, s, n)], size - n
             while gap:
@@ -158,18 +211,18 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cache = word_encoder(tokenizer_path), {}
+        encoder = WordEncoder(tokenizer_path)
         serial = TaskContext.get().partitionId() << 36
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
-            for start, stop in byte_steps(text):
-                ids, at = encode_texts(text.slice(start, stop - start), encode, cache)
-                wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-                data, size = ids.astype("<u4" if wide else "<u2").tobytes(), 4 if wide else 2
-                rows = [data[a * size : b * size] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                n = stop - start
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.arange(serial, serial + n)), pa.array([size] * n, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "serial", "size", "ids"])
-                serial += n
+            for first, last in byte_steps(text, SHARED_BYTES):
+                for a, b, ids, at in encode_texts(text.slice(first, last - first), encoder):
+                    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+                    data, size = ids.astype("<u4" if wide else "<u2").tobytes(), 4 if wide else 2
+                    rows = [data[x * size : y * size] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    n = b - a
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + a, n), pa.array(np.arange(serial, serial + n)), pa.array([size] * n, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "serial", "size", "ids"])
+                    serial += n
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, serial long, size int, ids binary")
 
