@@ -26,7 +26,8 @@ PIVOTS = 24
 PIVOT_SAMPLE = 512
 #: Queries that are held by a task at once.
 BLOCK = 4096
-CHUNK = 256
+#: Candidates that are evaluated before the others of a batch; queries whose bounds are held at once.
+CHUNK, GROUP = 128, 64
 #: Scores are whole numbers; bounds are raised by this much against rounding.
 SLACK = 0.25
 
@@ -66,6 +67,45 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scores[order], ids[order]
 
 
+def upper_bounds(q_pivot: np.ndarray, q_square: np.ndarray, x_pivot: np.ndarray, x_square: np.ndarray) -> np.ndarray:
+    """Bounds on the products of some queries with a batch of vectors, pivot by pivot."""
+    lower = np.zeros((len(q_pivot), len(x_pivot)), dtype=np.float32)
+    apart = np.empty_like(lower)
+    for j in range(q_pivot.shape[1]):
+        np.subtract(x_pivot[None, :, j], q_pivot[:, j, None], out=apart)
+        np.abs(apart, out=apart)
+        np.maximum(lower, apart, out=lower)
+    squares = (q_square[:, None] + x_square[None, :]).astype(np.float32)
+    return (squares - lower**2) / 2 + (SLACK + 1e-5 * squares)
+
+
+def evaluate(tops: list, at: int, bound: np.ndarray, q: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> None:
+    """Candidates of the highest bounds first; then, in one product, those whose bounds reach the k-th best score."""
+    after = np.full(len(bound), -np.inf, dtype=np.float32)
+    for i, row in enumerate(bound):
+        score, top = tops[at + i]
+        first = np.argpartition(-row, CHUNK)[:CHUNK] if len(row) > CHUNK else np.arange(len(row))
+        if len(score) == k:
+            first = first[row[first] >= score[-1]]
+        first = first[row[first] > -np.inf]
+        if len(first):
+            score, top = best(np.concatenate((score, x[first] @ q[i])), np.concatenate((top, x_id[first])), k)
+            tops[at + i] = (score, top)
+        row[first] = -np.inf
+        if len(score) == k:
+            after[i] = score[-1]
+    left = (bound >= after[:, None]) & (bound > -np.inf)
+    cols = np.flatnonzero(left.any(axis=0))
+    if not len(cols):
+        return
+    found = q @ x[cols].T
+    for i in np.flatnonzero(left.any(axis=1)):
+        score, top = tops[at + i]
+        enter = np.flatnonzero(left[i, cols] & (found[i] >= after[i]))
+        if len(enter):
+            tops[at + i] = best(np.concatenate((score, found[i, enter])), np.concatenate((top, x_id[cols[enter]])), k)
+
+
 def exact_topk(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Per query (vec_id divisible by ``every``): query_id, rank, vec_id, score of its k best candidates.
 
@@ -103,25 +143,19 @@ def exact_topk(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            q_square, q_pivot = (q**2).sum(axis=1), pivot_distances(q, anchor)
+            q_pivot, q_square = pivot_distances(q, anchor).astype(np.float32), (q**2).sum(axis=1)
             tops = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
             for batch in batches:
                 x_id, x = batch.column(0).to_numpy(), matrix(batch.column(1), width)
-                x_pivot, x_square = matrix(batch.column(2), len(anchor)), (x**2).sum(axis=1)
-                for i in range(len(ids)):
-                    lower = np.abs(x_pivot - q_pivot[i]).max(axis=1) if len(anchor) else np.zeros(len(x))
-                    bound = (q_square[i] + x_square - lower**2) / 2 + SLACK
-                    bound[x_id == ids[i]] = -np.inf
-                    score, top = tops[i]
-                    least = score[-1] if len(score) == k else -np.inf
-                    left = np.flatnonzero(bound >= least) if len(score) == k else np.flatnonzero(bound > -np.inf)
-                    left = left[np.argsort(-bound[left], kind="stable")]
-                    for at in range(0, len(left), CHUNK):
-                        part = left[at : at + CHUNK]
-                        if len(score) == k and bound[part[0]] < score[-1]:
-                            break  # no later candidate can reach the k-th best score
-                        score, top = best(np.concatenate((score, x[part] @ q[i])), np.concatenate((top, x_id[part])), k)
-                    tops[i] = (score, top)
+                x_pivot, x_square = matrix(batch.column(2), len(anchor)).astype(np.float32), (x**2).sum(axis=1)
+                # products of small whole numbers are exact in single precision
+                small = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) ** 2 * max(1, width) < 1 << 24
+                x_fast, q_fast = (x.astype(np.float32), q.astype(np.float32)) if small else (x, q)
+                for at in range(0, len(ids), GROUP):
+                    group = slice(at, at + GROUP)
+                    bound = upper_bounds(q_pivot[group], q_square[group], x_pivot, x_square)
+                    bound[ids[group][:, None] == x_id[None, :]] = -np.inf
+                    evaluate(tops, at, bound, q_fast[group], x_fast, x_id, k)
             sizes = [len(t[1]) for t in tops]
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays(
