@@ -31,33 +31,37 @@ def segment(length: Column, i: int, count: int) -> tuple[Column, Column]:
     return F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short) + 1, base + (F.lit(i) >= short).cast("int")
 
 
+def key(line: Column, i: int, length: Column, start: Column, size: Column) -> Column:
+    """A segment's key; ``line`` is UTF-32, where a substring is found without reading what comes before."""
+    return F.xxhash64(F.lit(i), length, F.substring(line, 4 * start - 3, 4 * size))
+
+
 def index_keys(line: Column, length: Column, edits: int) -> Column:
     count = edits + 1
-    return F.array(*[F.xxhash64(F.lit(i), length, F.substr(line, *segment(length, i, count))) for i in range(count)])
+    return F.array(*[key(line, i, length, *segment(length, i, count)) for i in range(count)])
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
     """Keys of the substrings that can equal a segment of a line ``short`` characters shorter.
 
     With i segments to the left and edits - i to the right, the segment is shifted by
-    at most i, and by at most edits - i against the right end.
+    at most i, and by at most edits - i against the right end. Lines are long enough
+    for every such substring to lie inside.
     """
     count, keys = edits + 1, []
     for short in range(edits + 1):
         other = length - short
         for i in range(count):
             start, size = segment(other, i, count)
-            for shift in range(-i, i + 1):
-                if abs(shift - short) <= edits - i:
-                    at = start + shift
-                    fits = (at >= 1) & (at + size - 1 <= length) & (other >= count)
-                    keys.append(F.when(fits, F.xxhash64(F.lit(i), other, F.substr(line, at, size))))
-    return F.array_compact(F.array(*keys))
+            keys += [key(line, i, other, start + shift, size) for shift in range(-i, i + 1) if abs(shift - short) <= edits - i]
+    return F.array(*keys)
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
+def within_edits(a: Column, b: Column, edits: int, beginnings: bool = False) -> Column:
     """Whether the edit distance of two UTF-32 binaries is at most ``edits``: one bit a diagonal of the band.
 
+    With ``beginnings``, whether all of ``b`` is within ``edits`` of some beginning of ``a``.
+
     Characters of ``b`` are taken one by one. After j of them, bit k of word e says whether
     the first j + k - edits characters of ``a`` can be turned into them with e edits at
     most. A match keeps the bits of its word; a substitution, an extra character of ``b``
@@ -84,10 +88,12 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
         return F.struct(*[x.alias(f"r{e}") for e, x in enumerate(out)])
 
     def accepts(state: Column) -> Column:
+        if beginnings:
+            return state[f"r{edits}"] != 0
         at = (n - m).cast("int") + edits
         return (at >= 0) & (at < width) & (F.call_function("shiftright", state[f"r{edits}"], F.greatest(at, F.lit(0))).bitwiseAND(F.lit(1).cast("bigint")) == 1)
 
-    return F.when(m == 0, n <= edits).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(m.cast("int") - 1, F.lit(0))), first, step, accepts))
+    return F.when(m == 0, F.lit(True) if beginnings else n <= edits).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(m.cast("int") - 1, F.lit(0))), first, step, accepts))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -104,21 +110,49 @@ def place() -> Column:
 
 def line_classes(lines: DataFrame) -> DataFrame:
     """(h1, h2, line, first, n): each distinct line with its first place; equal lines are combined before the shuffle."""
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct(place().alias("first"), "line")).alias("x"), F.count("*").alias("n")).select("h1", "h2", "x.line", "x.first", "n")
+    return lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(place()).alias("first"), F.count("*").alias("n"))
+
+
+def same_beginning(a: Column, b: Column, limit: int = 20) -> Column:
+    """Characters (up to 2**limit - 1) that two UTF-32 binaries have in common at their beginnings, by doubling."""
+    shorter = F.least(F.octet_length(a), F.octet_length(b))
+
+    def longer(same: Column, size: Column) -> Column:
+        at = same * 4
+        equal = (at + size * 4 <= shorter) & (F.substring(a, at + 1, size * 4) == F.substring(b, at + 1, size * 4))
+        return same + F.when(equal, size).otherwise(F.lit(0))
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(limit))]), F.lit(0), longer)
+
+
+#: Characters after the common beginning that the first look at a pair takes in.
+GLANCE = 16
+#: Lines' ids that are broadcast to pick the texts of candidates; beyond it they are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def line_links(classes: DataFrame, edits: int) -> DataFrame:
-    """(a, b): pairs of classes (h1, h2) within ``edits`` edits, in both directions."""
-    length = F.length("line")
-    whole = classes.select("h1", "line", length.alias("size"))
-    index = whole.select(F.col("h1").alias("b"), F.explode(index_keys(F.col("line"), F.col("size"), edits)).alias("key"))
-    probe = whole.select(F.col("h1").alias("a"), F.explode(probe_keys(F.col("line"), F.col("size"), edits)).alias("key"))
+    """(a, b): pairs of classes (h1, h2) within ``edits`` edits, in both directions.
+
+    Edits don't depend on a common beginning, so each pair is looked at from its end on:
+    a few characters first, which most false candidates don't survive, then the rest.
+    """
+    wide = classes.select("h1", "h2", F.encode("line", "UTF-32").alias("u")).withColumn("size", (F.octet_length("u") / 4).cast("int"))
+    index = wide.select(F.col("h1").alias("b"), F.explode(index_keys(F.col("u"), F.col("size"), edits)).alias("key"))
+    probe = wide.select(F.col("h1").alias("a"), F.explode(probe_keys(F.col("u"), F.col("size"), edits)).alias("key"))
     found = probe.join(index, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     candidates = materialise(found, "line-candidates")
-    wide = classes.select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
-    left = wide.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("ka"), F.col("u").alias("ua"))
-    right = wide.select(F.col("h1").alias("b"), F.struct("h1", "h2").alias("kb"), F.col("u").alias("ub"))
-    pairs = candidates.join(left, "a").join(right, "b").filter(within_edits(F.col("ua"), F.col("ub"), edits)).select("ka", "kb")
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    some = materialise(wide.join(F.broadcast(ids) if few else ids, "h1", "left_semi").drop("size"), "line-texts")
+    left = some.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("ka"), F.col("u").alias("ua"))
+    right = some.select(F.col("h1").alias("b"), F.struct("h1", "h2").alias("kb"), F.col("u").alias("ub"))
+    met = candidates.join(left, "a").join(right, "b").withColumn("same", same_beginning(F.col("ua"), F.col("ub")))
+    # written, as a filter pushed below these columns would compute them anew at every step of its own
+    tails = materialise(met.select("ka", "kb", *[F.expr(f"substring({u}, 4 * same + 1)").alias(u) for u in ("ua", "ub")]), "line-tails")
+    glance = F.substring(F.col("ub"), F.lit(1), F.lit(4 * GLANCE))
+    tails = tails.filter(within_edits(F.col("ua"), glance, edits, beginnings=True))
+    pairs = tails.filter(within_edits(F.col("ua"), F.col("ub"), edits)).select("ka", "kb")
     return pairs.unionAll(pairs.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))).distinct()
 
 
