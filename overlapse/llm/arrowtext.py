@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step handles; a longer single text forms a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def byte_steps(text: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:

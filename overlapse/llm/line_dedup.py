@@ -1,12 +1,15 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines that are equal form a class; the join runs between classes. For an edit
-distance of at most t, every line is cut into t + 1 segments: at least one segment
-of a line stands unchanged, and shifted by t at most, in any line that near. The
-segments of lines of each length are the index; every line probes the index of
-its own length and of up to t characters less with the few substrings that can
-match (the position ranges follow from the edits left on either side). Candidates
-are verified with a bit-parallel edit distance over the band of 2 t + 1 diagonals.
+Lines that are equal form a class; the join runs between classes. For an edit distance of
+at most t, t + 1 segments are laid into every line, the first half of them counted from
+its beginning, the others from its end. In two lines that near, some segment i stands
+unchanged with i edits at most before it and t - i after it, so it is shifted by i, or by
+t - i, at most. A segment's size depends on the line's length in steps, so that lines of
+nearly the same length have the same segments: a line enters the index with its own
+segments, and probes it with the few substrings that can match those of a line up to t
+characters shorter. Lengths and counts of some characters, which t edits can change by
+2 t in all, are compared in the join itself. Candidates are verified with a bit-parallel
+edit distance over the band of 2 t + 1 diagonals.
 
 A line is dropped if an equal line stands earlier, or if its class is within t edits
 of a class that begins earlier. Earlier means by doc_id, then by line number.
@@ -24,37 +27,53 @@ MAX_EDITS = 2
 MIN_CHARS = 32
 
 
-def segment(length: Column, i: int, count: int) -> tuple[Column, Column]:
-    """(1-based start, size) of segment ``i`` (from 0) of a line of this length; later ones are the longer."""
-    base = F.floor(length / count).cast("int")
-    short = count - length % count  # segments of the smaller size
-    return F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short) + 1, base + (F.lit(i) >= short).cast("int")
+#: Segments' sizes are multiples of this; a line must hold one for each segment.
+SIZE_STEP = 8
+#: Characters that are counted, eight at most: frequent ones of European texts.
+COUNTED = "eantirho"
 
 
-def key(line: Column, i: int, length: Column, start: Column, size: Column) -> Column:
-    """A segment's key; ``line`` is UTF-32, where a substring is found without reading what comes before."""
-    return F.xxhash64(F.lit(i), length, F.substring(line, 4 * start - 3, 4 * size))
+def segment_size(length: Column, edits: int) -> Column:
+    return F.floor(length / (SIZE_STEP * (edits + 1))).cast("int") * SIZE_STEP
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    count = edits + 1
-    return F.array(*[key(line, i, length, *segment(length, i, count)) for i in range(count)])
+def segment_key(line: Column, length: Column, i: int, edits: int, size: Column, shift: int) -> Column:
+    """The key of segment ``i`` of a UTF-32 line, or of the substring that is shifted against it."""
+    start = i * size if 2 * i <= edits else length - (edits + 1 - i) * size
+    return F.xxhash64(F.lit(i), size, F.substring(line, 4 * (start + shift) + 1, 4 * size))
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line ``short`` characters shorter.
+def line_keys(line: Column, length: Column, edits: int) -> Column:
+    """An array of (key, own): a line's own segments, and the substrings with which it probes besides them."""
+    size, shorter = segment_size(length, edits), segment_size(length - edits, edits)
+    own, shifted, other = [], [], []
+    for i in range(edits + 1):
+        reach = min(i, edits - i)
+        for shift in range(-reach, reach + 1):
+            entry = F.struct(segment_key(line, length, i, edits, size, shift).alias("key"), F.lit(shift == 0).alias("own"))
+            (shifted if shift else own).append(entry)
+            other.append(F.struct(segment_key(line, length, i, edits, shorter, shift).alias("key"), F.lit(False).alias("own")))
+    both = F.array(*own, *shifted)
+    return F.when(size == shorter, both).otherwise(F.concat(both, F.array(*other)))
 
-    With i segments to the left and edits - i to the right, the segment is shifted by
-    at most i, and by at most edits - i against the right end. Lines are long enough
-    for every such substring to lie inside.
-    """
-    count, keys = edits + 1, []
-    for short in range(edits + 1):
-        other = length - short
-        for i in range(count):
-            start, size = segment(other, i, count)
-            keys += [key(line, i, other, start + shift, size) for shift in range(-i, i + 1) if abs(shift - short) <= edits - i]
-    return F.array(*keys)
+
+def char_counts(line: Column) -> Column:
+    """The counts, modulo 256, in one number."""
+    total = F.lit(0).cast("bigint")
+    for k, c in enumerate(COUNTED):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(255).cast("bigint")), 8 * k))
+    return total
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """The sum of the counts' differences, never more than the true one."""
+    out = F.lit(0).cast("bigint")
+    for k in range(len(COUNTED)):
+        x, y = (F.shiftright(v, 8 * k).bitwiseAND(F.lit(255).cast("bigint")) for v in (a, b))
+        d = F.abs(x - y)
+        out = out + F.least(d, 256 - d)
+    return out
 
 
 def within_edits(a: Column, b: Column, edits: int, beginnings: bool = False) -> Column:
@@ -113,20 +132,20 @@ def line_classes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(place()).alias("first"), F.count("*").alias("n"))
 
 
-def same_beginning(a: Column, b: Column, limit: int = 20) -> Column:
-    """Characters (up to 2**limit - 1) that two UTF-32 binaries have in common at their beginnings, by doubling."""
-    shorter = F.least(F.octet_length(a), F.octet_length(b))
+def same_beginning(a: Column, b: Column, room: Column, ends: bool = False, limit: int = 20) -> Column:
+    """Characters (``room`` at most, and 2**limit - 1) that two UTF-32 binaries share at their beginnings, or ends, by doubling."""
 
     def longer(same: Column, size: Column) -> Column:
-        at = same * 4
-        equal = (at + size * 4 <= shorter) & (F.substring(a, at + 1, size * 4) == F.substring(b, at + 1, size * 4))
+        # counted from the end, a stretch of this size ends where the known one begins
+        at = [F.octet_length(x) - 4 * (same + size) + 1 if ends else 4 * same + 1 for x in (a, b)]
+        equal = (same + size <= room) & (F.substring(a, at[0], size * 4) == F.substring(b, at[1], size * 4))
         return same + F.when(equal, size).otherwise(F.lit(0))
 
     return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(limit))]), F.lit(0), longer)
 
 
-#: Characters after the common beginning that the first look at a pair takes in.
-GLANCE = 16
+#: Characters that the first look at a pair takes in.
+GLANCE = 8
 #: Lines' ids that are broadcast to pick the texts of candidates; beyond it they are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -134,22 +153,31 @@ BROADCAST_IDS = 500_000
 def line_links(classes: DataFrame, edits: int) -> DataFrame:
     """(a, b): pairs of classes (h1, h2) within ``edits`` edits, in both directions.
 
-    Edits don't depend on a common beginning, so each pair is looked at from its end on:
-    a few characters first, which most false candidates don't survive, then the rest.
+    A common beginning and end need no edits, so only what lies between them is compared:
+    a few characters first, which most false candidates don't survive, then all of it.
     """
-    wide = classes.select("h1", "h2", F.encode("line", "UTF-32").alias("u")).withColumn("size", (F.octet_length("u") / 4).cast("int"))
-    index = wide.select(F.col("h1").alias("b"), F.explode(index_keys(F.col("u"), F.col("size"), edits)).alias("key"))
-    probe = wide.select(F.col("h1").alias("a"), F.explode(probe_keys(F.col("u"), F.col("size"), edits)).alias("key"))
-    found = probe.join(index, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wide = classes.select("h1", "h2", F.encode("line", "UTF-32").alias("u"), char_counts(F.col("line")).alias("counts")).withColumn("size", (F.octet_length("u") / 4).cast("int"))
+    keyed = wide.select("h1", "counts", "size", F.explode(line_keys(F.col("u"), F.col("size"), edits)).alias("k"))
+    # dealt out once: both sides of the join read the same shuffle, as they need the same columns and no
+    # condition belongs to one side alone; the lowest bit of ``mark`` tells a line's own segments
+    keyed = keyed.select("h1", "counts", (F.col("size") * 2 + F.col("k.own").cast("int")).alias("mark"), "k.key").repartition("key")
+    left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("h1", "counts", "mark")])
+    right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("h1", "counts", "mark")])
+    longer = F.shiftright("mark_b", 1) - F.shiftright("mark_a", 1)
+    near = (F.col("h1_a") != F.col("h1_b")) & F.when(F.col("mark_a") % 2 == 1, longer).otherwise(-1).between(0, edits) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
+    found = left.join(right, (left["key"] == right["key"]) & near).select(F.least("h1_a", "h1_b").alias("a"), F.greatest("h1_a", "h1_b").alias("b")).distinct()
     candidates = materialise(found, "line-candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    some = materialise(wide.join(F.broadcast(ids) if few else ids, "h1", "left_semi").drop("size"), "line-texts")
+    some = classes.join(F.broadcast(ids) if few else ids, "h1", "left_semi").select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
+    some = materialise(some, "line-texts")
     left = some.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("ka"), F.col("u").alias("ua"))
     right = some.select(F.col("h1").alias("b"), F.struct("h1", "h2").alias("kb"), F.col("u").alias("ub"))
-    met = candidates.join(left, "a").join(right, "b").withColumn("same", same_beginning(F.col("ua"), F.col("ub")))
-    # written, as a filter pushed below these columns would compute them anew at every step of its own
-    tails = materialise(met.select("ka", "kb", *[F.expr(f"substring({u}, 4 * same + 1)").alias(u) for u in ("ua", "ub")]), "line-tails")
+    met = candidates.join(left, "a").join(right, "b").withColumn("room", (F.least(F.octet_length("ua"), F.octet_length("ub")) / 4).cast("int"))
+    met = met.withColumn("head", same_beginning(F.col("ua"), F.col("ub"), F.col("room")))
+    # each step is written, as a filter pushed below these columns would compute them anew at every step of its own
+    met = materialise(met.withColumn("tail", same_beginning(F.col("ua"), F.col("ub"), F.col("room") - F.col("head"), ends=True)), "line-ends")
+    tails = materialise(met.select("ka", "kb", *[F.expr(f"substring({u}, 4 * head + 1, octet_length({u}) - 4 * (head + tail))").alias(u) for u in ("ua", "ub")]), "line-middles")
     glance = F.substring(F.col("ub"), F.lit(1), F.lit(4 * GLANCE))
     tails = tails.filter(within_edits(F.col("ua"), glance, edits, beginnings=True))
     pairs = tails.filter(within_edits(F.col("ua"), F.col("ub"), edits)).select("ka", "kb")

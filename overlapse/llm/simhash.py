@@ -23,6 +23,8 @@ from overlapse.operators.graph import connected_components
 from overlapse.workspace import materialise, remove
 
 SEED = 42
+#: Shingles whose bits are held at once.
+BLOCK = 20_000
 
 
 def fingerprints(text: pa.Array, width: int) -> np.ndarray:
@@ -55,12 +57,12 @@ def fingerprints(text: pa.Array, width: int) -> np.ndarray:
     cuts = first[full]
     i = 0
     while i < len(full):
-        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + 200_000)))
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + BLOCK)))
         lo, hi = cuts[i], first[full[j - 1] + 1]
         ones = np.zeros((j - i, 64), dtype=np.int64)
         if j == i + 1:
-            for k in range(lo, hi, 200_000):
-                ones[0] += np.unpackbits(hashes[k : min(hi, k + 200_000)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            for k in range(lo, hi, BLOCK):
+                ones[0] += np.unpackbits(hashes[k : min(hi, k + BLOCK)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
         else:
             bits = np.unpackbits(hashes[lo:hi].astype(">u8").view(np.uint8)).reshape(-1, 64)
             ones = np.add.reduceat(bits, cuts[i:j] - lo, axis=0, dtype=np.int64)
