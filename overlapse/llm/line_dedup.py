@@ -29,8 +29,8 @@ MIN_CHARS = 32
 
 #: Segments' sizes are multiples of this; a line must hold one for each segment.
 SIZE_STEP = 8
-#: Characters that are counted, eight at most: frequent ones of European texts.
-COUNTED = "eantirho"
+#: Characters that are counted, twelve at most, in five bits each: frequent ones of European texts.
+COUNTED = "eantirhosdlu"
 
 
 def segment_size(length: Column, edits: int) -> Column:
@@ -44,25 +44,27 @@ def segment_key(line: Column, length: Column, i: int, edits: int, size: Column,
 
 
 def line_keys(line: Column, length: Column, edits: int) -> Column:
-    """An array of (key, own): a line's own segments, and the substrings with which it probes besides them."""
+    """An array of (key, own, first): a line's own segments, and the substrings with which it probes besides them.
+
+    ``first`` is the key of the first segment of the same size.
+    """
     size, shorter = segment_size(length, edits), segment_size(length - edits, edits)
     own, shifted, other = [], [], []
     for i in range(edits + 1):
         reach = min(i, edits - i)
         for shift in range(-reach, reach + 1):
-            entry = F.struct(segment_key(line, length, i, edits, size, shift).alias("key"), F.lit(shift == 0).alias("own"))
-            (shifted if shift else own).append(entry)
-            other.append(F.struct(segment_key(line, length, i, edits, shorter, shift).alias("key"), F.lit(False).alias("own")))
+            for n, into, mine in ((size, shifted if shift else own, shift == 0), (shorter, other, False)):
+                into.append(F.struct(segment_key(line, length, i, edits, n, shift).alias("key"), F.lit(mine).alias("own"), segment_key(line, length, 0, edits, n, 0).alias("first")))
     both = F.array(*own, *shifted)
     return F.when(size == shorter, both).otherwise(F.concat(both, F.array(*other)))
 
 
 def char_counts(line: Column) -> Column:
-    """The counts, modulo 256, in one number."""
+    """The counts, modulo 32, in one number."""
     total = F.lit(0).cast("bigint")
     for k, c in enumerate(COUNTED):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(255).cast("bigint")), 8 * k))
+        total = total.bitwiseOR(F.shiftleft(n.cast("bigint").bitwiseAND(F.lit(31).cast("bigint")), 5 * k))
     return total
 
 
@@ -70,9 +72,9 @@ def counts_apart(a: Column, b: Column) -> Column:
     """The sum of the counts' differences, never more than the true one."""
     out = F.lit(0).cast("bigint")
     for k in range(len(COUNTED)):
-        x, y = (F.shiftright(v, 8 * k).bitwiseAND(F.lit(255).cast("bigint")) for v in (a, b))
+        x, y = (F.shiftright(v, 5 * k).bitwiseAND(F.lit(31).cast("bigint")) for v in (a, b))
         d = F.abs(x - y)
-        out = out + F.least(d, 256 - d)
+        out = out + F.least(d, 32 - d)
     return out
 
 
@@ -160,12 +162,14 @@ def line_links(classes: DataFrame, edits: int) -> DataFrame:
     keyed = wide.select("h1", "counts", "size", F.explode(line_keys(F.col("u"), F.col("size"), edits)).alias("k"))
     # dealt out once: both sides of the join read the same shuffle, as they need the same columns and no
     # condition belongs to one side alone; the lowest bit of ``mark`` tells a line's own segments
-    keyed = keyed.select("h1", "counts", (F.col("size") * 2 + F.col("k.own").cast("int")).alias("mark"), "k.key").repartition("key")
-    left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("h1", "counts", "mark")])
-    right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("h1", "counts", "mark")])
+    keyed = keyed.select("h1", "counts", (F.col("size") * 2 + F.col("k.own").cast("int")).alias("mark"), "k.key", "k.first").repartition("key")
+    left = keyed.select(F.col("key").alias("key_a"), *[F.col(c).alias(f"{c}_a") for c in ("h1", "counts", "mark", "first")])
+    right = keyed.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in ("h1", "counts", "mark", "first")])
     longer = F.shiftright("mark_b", 1) - F.shiftright("mark_a", 1)
-    near = (F.col("h1_a") != F.col("h1_b")) & F.when(F.col("mark_a") % 2 == 1, longer).otherwise(-1).between(0, edits) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
-    found = left.join(right, (left["key"] == right["key"]) & near).select(F.least("h1_a", "h1_b").alias("a"), F.greatest("h1_a", "h1_b").alias("b")).distinct()
+    # lines with the same first segment meet there alone
+    once = (F.col("key_a") == F.col("first_a")) | (F.col("first_a") != F.col("first_b"))
+    near = (F.col("h1_a") != F.col("h1_b")) & once & F.when(F.col("mark_a") % 2 == 1, longer).otherwise(-1).between(0, edits) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
+    found = left.join(right, (F.col("key_a") == F.col("key_b")) & near).select(F.least("h1_a", "h1_b").alias("a"), F.greatest("h1_a", "h1_b").alias("b")).distinct()
     candidates = materialise(found, "line-candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
