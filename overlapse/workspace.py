@@ -31,7 +31,7 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     out.scratch_path = path
     return out
 
