@@ -89,10 +89,10 @@ def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", keep_t
 
 def segments(distance: int) -> list[tuple[int, int, int]]:
     """(first bit, width, radius) of segments whose radii plus one add up to distance + 1."""
-    count = max(1, (distance + 2) // 2)
+    count = max(2, (distance + 2) // 2)
     cuts = [64 * i // count for i in range(count + 1)]
     radii = [1] * count
-    spare = 2 * count - (distance + 1)
+    spare = min(count, 2 * count - (distance + 1))
     for i in range(spare):
         radii[-1 - i] = 0
     return [(cuts[i], cuts[i + 1] - cuts[i], radii[i]) for i in range(count)]
