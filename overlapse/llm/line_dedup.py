@@ -171,8 +171,8 @@ def line_links(classes: DataFrame, edits: int) -> DataFrame:
     near = (F.col("h1_a") != F.col("h1_b")) & once & F.when(F.col("mark_a") % 2 == 1, longer).otherwise(-1).between(0, edits) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
     found = left.join(right, (F.col("key_a") == F.col("key_b")) & near).select(F.least("h1_a", "h1_b").alias("a"), F.greatest("h1_a", "h1_b").alias("b")).distinct()
     candidates = materialise(found, "line-candidates")
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = materialise(candidates.select(F.col("a").alias("h1")).union(candidates.select("b")).distinct(), "line-ids")
+    few = ids.count() <= BROADCAST_IDS
     some = classes.join(F.broadcast(ids) if few else ids, "h1", "left_semi").select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
     some = materialise(some, "line-texts")
     left = some.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("ka"), F.col("u").alias("ua"))
