@@ -410,6 +410,31 @@ def test_simhash_links_are_complete(spark, distance):
     assert {(r.a, r.b) for r in links(spark.createDataFrame([(x,) for x in fps], "fp long"), distance).collect()} == want
 
 
+def test_near_copies_are_found(spark):
+    """Planted copies with a few words changed: caught at 0.8 and more, others left alone."""
+    from overlapse.llm.simhash import near_copies
+
+    rng, rows, want = np.random.default_rng(2), [], []
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    for k in range(0, 600, 2):
+        words = [str(x) for x in rng.choice(vocab, rng.integers(60, 500))]
+        other = list(words)
+        for _ in range(max(1, int(len(words) * rng.choice([0.005, 0.015, 0.05])))):
+            other[int(rng.integers(0, len(other)))] = str(rng.choice(vocab))
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other).upper())]
+        a, b = sets(rows[-2][1]), sets(" ".join(other))
+        want.append(len(a & b) / len(a | b) >= 0.8)
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    found = [got[k + 1] == k for k in range(0, 600, 2)]
+    assert all(w for f, w in zip(found, want) if f) and all(got[k] == k for k in range(0, 600, 2))
+    assert sum(f for f, w in zip(found, want) if w) >= 0.95 * sum(want) > 50
+
+
 def test_simhash_odd(spark):
     from overlapse.llm.simhash import simhash_filter, simhash_groups
 
