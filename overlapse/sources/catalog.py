@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlapse.schemas import CATALOG
+from overlapse.schemas import CATALOG, schema_of
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -45,12 +45,12 @@ class Catalog:
         return self._current(name) is not None
 
     def read(self, name: str) -> DataFrame:
-        schema, _ = CATALOG[name]
+        schema = schema_of(name)
         at = self._current(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        schema, _ = CATALOG[name]
+        schema = schema_of(name)
         version, before = f"v-{uuid.uuid4().hex}", self._current(name)
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{self.root}/{name}/{version}")
         fs, at = self._fs(f"{self.root}/{name}/CURRENT")
@@ -63,11 +63,11 @@ class Catalog:
             fs.delete(self._fs(f"{self.root}/{name}/{before}")[1], True)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, upsert(self.read(name), rows.select(*CATALOG[name][0].names), CATALOG[name][1]))
+        self.replace(name, upsert(self.read(name), rows.select(*schema_of(name).names), CATALOG[name][1]))
 
     def insert_absent(self, name: str, rows: DataFrame) -> None:
         old = self.read(name)
-        self.replace(name, old.unionByName(insert_absent(old, rows.select(*CATALOG[name][0].names), CATALOG[name][1])))
+        self.replace(name, old.unionByName(insert_absent(old, rows.select(*schema_of(name).names), CATALOG[name][1])))
 
     def register(self) -> None:
         """Temporary views of all tables, for plain SQL."""
