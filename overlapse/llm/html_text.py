@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from overlapse.llm.arrowtext import trimmed
+
 #: Elements whose whole content is dropped.
 SKIPPED = frozenset("script style noscript template nav header footer aside form button select option textarea input label fieldset iframe object embed canvas svg math dialog menu head title".split())
 #: Elements that start and end a block.
@@ -204,4 +206,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     picked = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     id_kind, url_kind = (picked.schema[i].dataType.simpleString() for i in range(2))
-    return picked.mapInArrow(run, f"page_id {id_kind}, url {url_kind}, text string, n_chars bigint")
+    return picked.mapInArrow(trimmed(run), f"page_id {id_kind}, url {url_kind}, text string, n_chars bigint")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlapse.llm.arrowtext import byte_steps, owner, words
+from overlapse.llm.arrowtext import byte_steps, owner, trimmed, words
 from overlapse.workspace import materialise, remove
 
 BATCH_BYTES = 8 << 20
@@ -132,7 +132,7 @@ def coded(docs: DataFrame, modulus: int, remainder: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([origin | serial]), *lists, pa.array([vocab.tobytes()]), pa.array([codes.tobytes()])], ["batch", "doc_id", "held", "n_tokens", "vocab", "codes"])
                 serial += 1
 
-    return docs.select("doc_id", held.alias("held"), "text").mapInArrow(run, f"batch long, doc_id array<{id_kind}>, held array<boolean>, n_tokens array<long>, vocab binary, codes binary")
+    return docs.select("doc_id", held.alias("held"), "text").mapInArrow(trimmed(run), f"batch long, doc_id array<{id_kind}>, held array<boolean>, n_tokens array<long>, vocab binary, codes binary")
 
 
 def read_batches(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[dict, Batch]]:
@@ -158,7 +158,7 @@ def requests(batches: DataFrame, bits: int) -> DataFrame:
                             ["order", "shard", "batch", "n", "keys", "counts"],
                         )
 
-    return batches.select("batch", "held", "n_tokens", "vocab", "codes").mapInArrow(run, "order int, shard int, batch long, n long, keys binary, counts binary")
+    return batches.select("batch", "held", "n_tokens", "vocab", "codes").mapInArrow(trimmed(run), "order int, shard int, batch long, n long, keys binary, counts binary")
 
 
 def add_up(asked: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def fit_model(tables: DataFrame) -> Model:
             masses = [float((unigram(c) * c).sum()) for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in [unpack(data, n).astype(np.int64)]]
             yield pa.RecordBatch.from_arrays([pa.array(masses, pa.float64())], ["mass"])
 
-    mass = tables.filter("batch = -1 and order = 1").select("n", "counts").mapInArrow(kept, "mass double").agg(F.sum("mass")).head()[0] or 0.0
+    mass = tables.filter("batch = -1 and order = 1").select("n", "counts").mapInArrow(trimmed(kept), "mass double").agg(F.sum("mass")).head()[0] or 0.0
     total = stats[1][1]
     return Model(total, stats[1][0], unigram, bigram, 1 - mass / total if total else 1.0)
 

@@ -174,7 +174,7 @@ def line_links(classes: DataFrame, edits: int) -> DataFrame:
     ids = materialise(candidates.select(F.col("a").alias("h1")).union(candidates.select("b")).distinct(), "line-ids")
     few = ids.count() <= BROADCAST_IDS
     some = classes.join(F.broadcast(ids) if few else ids, "h1", "left_semi").select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
-    some = materialise(some, "line-texts")
+    some = materialise(some.hint("rebalance"), "line-texts")
     left = some.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("ka"), F.col("u").alias("ua"))
     right = some.select(F.col("h1").alias("b"), F.struct("h1", "h2").alias("kb"), F.col("u").alias("ub"))
     met = candidates.join(left, "a").join(right, "b").withColumn("room", (F.least(F.octet_length("ua"), F.octet_length("ub")) / 4).cast("int"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.llm.arrowtext import byte_steps, words
+from overlapse.llm.arrowtext import byte_steps, trimmed, words
 from overlapse.workspace import materialise
 
 LIMIT = 2048
@@ -224,7 +224,7 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + a, n), pa.array(np.arange(serial, serial + n)), pa.array([size] * n, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "serial", "size", "ids"])
                     serial += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, serial long, size int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, serial long, size int, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, block_docs: int = BLOCK_DOCS) -> DataFrame:

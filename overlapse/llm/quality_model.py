@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.llm.arrowtext import byte_steps, text_stats
+from overlapse.llm.arrowtext import byte_steps, text_stats, trimmed
 from overlapse.workspace import materialise
 
 #: Labelled rows that the trees are fitted on, at most: those with the smallest hashes of their ids.
@@ -133,7 +133,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), lists], ["doc_id", "x"])
 
-    table = materialise(docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {id_kind}, x array<double>"), "quality-features")
+    table = materialise(docs.select("doc_id", "text").mapInArrow(trimmed(measure), f"doc_id {id_kind}, x array<double>"), "quality-features")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
     known = labels.select("doc_id", F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
     sample = table.filter(~fold).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows).select("x", (F.col("y") >= 0.5).cast("double").alias("y")).toArrow()
@@ -145,4 +145,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
             got = forest.predict(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return table.select("doc_id", fold.alias("held_out"), "x").mapInArrow(score, f"doc_id {id_kind}, held_out boolean, score double, predicted int")
+    return table.select("doc_id", fold.alias("held_out"), "x").mapInArrow(trimmed(score), f"doc_id {id_kind}, held_out boolean, score double, predicted int")

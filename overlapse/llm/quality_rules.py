@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from overlapse.llm.arrowtext import byte_steps, text_stats
+from overlapse.llm.arrowtext import byte_steps, text_stats, trimmed
 from overlapse.workspace import materialise
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -57,7 +57,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep_text: bool = False)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), stats], [*kept, "_stats"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("_stats", kind)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def failed_base() -> Column:

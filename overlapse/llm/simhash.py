@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from overlapse.llm.arrowtext import byte_steps, words
+from overlapse.llm.arrowtext import byte_steps, trimmed, words
 from overlapse.operators.graph import connected_components
 from overlapse.workspace import materialise, remove
 
@@ -98,7 +98,7 @@ def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", keep_t
                 fp = pa.array(fingerprints(part.column(text_col), width))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), fp], [*kept, "_fp"])
 
-    return docs.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("_fp", T.LongType()))
+    return docs.mapInArrow(trimmed(run), docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("_fp", T.LongType()))
 
 
 def segments(distance: int) -> list[tuple[int, int, int]]:
@@ -196,7 +196,7 @@ def with_signature(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(pack_bits(margin > 0)), lists], ["doc_id", "k1", "k2", "fp", "weak"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, fp long, weak array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, k1 long, k2 long, fp long, weak array<long>")
 
 
 def names_of(norm: list[bytes]) -> np.ndarray:
@@ -217,7 +217,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                 at = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([pa.array(names_of(norm)[:, 0]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets)))], ["k1", "set"])
 
-    return texts.select("text").mapInArrow(run, "k1 long, set array<long>")
+    return texts.select("text").mapInArrow(trimmed(run), "k1 long, set array<long>")
 
 
 def near_copies(docs: DataFrame, width: int) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from overlapse.llm.arrowtext import trimmed
+
 #: Bytes that one call of the tokenizer gets; also the size beyond which a text is split.
 BATCH_BYTES = 512 << 10
 
@@ -103,4 +105,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return picked.mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
