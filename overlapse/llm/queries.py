@@ -84,4 +84,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries without an entry can't be stated in SQL with equal values; tests hold them against brute force."""
+    import math
+
+    from overlapse.llm import oracles, quality_rules
+
+    return {
+        "op3_line_dedup": oracles.LINE_DEDUP,
+        "op4_quality_rules": oracles.quality_rules(quality_rules.METRICS, math.log(quality_rules.GAMMA), quality_rules.MIN_ROWS, quality_rules.SPREADS),
+        "op8_mixing": oracles.MIXING,
+        "op9_exact_topk": oracles.EXACT_TOPK,
+    }
