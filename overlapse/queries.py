@@ -414,6 +414,66 @@ def prune_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.prune_plan(decisions, kept, dups)
 
 
+@query("SELECT p_partkey, CASE WHEN greatest(w, h) <= 288 THEN w - w % 2 ELSE nw - nw % 2 END::INTEGER AS w, CASE WHEN greatest(w, h) <= 288 THEN h - h % 2 ELSE nh - nh % 2 END::INTEGER AS h FROM (SELECT p_partkey, w, h, CASE WHEN w >= h THEN 288 ELSE greatest(2, round_even(w * 288.0 / h, 0)::INT) END AS nw, CASE WHEN w >= h THEN greatest(2, round_even(h * 288.0 / w, 0)::INT) ELSE 288 END AS nh FROM (SELECT p_partkey, (p_size * 13)::INT AS w, (p_partkey % 700 + 1)::INT AS h FROM part))")
+def resolution_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = on.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 13).cast("int").alias("w"), (F.col("p_partkey") % 700 + 1).cast("int").alias("h"))
+    w, h = scalar.fit_resolution(F.col("w"), F.col("h"), 288)
+    return sizes.select("p_partkey", w.cast("int").alias("w"), h.cast("int").alias("h"))
+
+
+@query("SELECT p_partkey, i, round((i + 0.5) * p_retailprice / 24, 6) AS t FROM part, range(24) r(i)")
+def even_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = scalar.even_times(F.col("p_retailprice"), 24)
+    return on.table(spark, sf_dir, "part").select("p_partkey", F.posexplode(times).alias("i", "t")).select("p_partkey", F.col("i").cast("long").alias("i"), F.round("t", 6).alias("t"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_discount * 100, 0), 6) AS rate FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS l_extendedprice, round(l_discount * 100) / 100 AS l_discount FROM lineitem)")
+def rational_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates written as fractions, as a container probe gives them."""
+    text = F.concat_ws("/", F.floor("l_extendedprice").cast("string"), F.round(F.col("l_discount") * 100).cast("int").cast("string"))
+    return on.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(scalar.rational(text), 6).alias("rate"))
+
+
+@query("SELECT event_id, (props->>'$.k')::DOUBLE AS vmaf FROM events")
+def pooled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = F.format_string('{"pooled_metrics": {"vmaf": {"mean": %s}}}', F.get_json_object("props", "$.k"))
+    return files.vmaf_log(on.table(spark, sf_dir, "events").select("event_id", log.alias("log"))).select("event_id", "vmaf")
+
+
+REFERENCE = f"{SEGMENTS}, rf AS (SELECT cluster, arg_max(vid, (size_bytes, -pos)) AS ref, count(*) AS n FROM seg WHERE NOT terrible GROUP BY cluster HAVING count(*) >= 2), ov AS (SELECT seg.cluster, seg.vid, rf.ref, greatest(seg.s, r.s) AS start, least(least(seg.e, r.e) - greatest(seg.s, r.s), 60) AS length FROM seg JOIN rf USING (cluster) JOIN seg r ON r.cluster = seg.cluster AND r.vid = rf.ref WHERE seg.vid <> rf.ref)"
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = on.event_segments(spark, sf_dir).withColumn("r_eff", F.col("size_bytes"))
+    return skyline.overlaps(rows, quality.pseudo_reference(rows))
+
+
+@query(f"WITH {REFERENCE} SELECT cluster, vid, ref, round(start, 3) AS start, round(length, 3) AS length FROM ov WHERE length >= 5")
+def reference_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir).select("cluster", "vid", "ref", F.round("start", 3).alias("start"), F.round("length", 3).alias("length"))
+
+
+@query(f"WITH {REFERENCE} SELECT seg.cluster, seg.vid, round(CASE WHEN ov.length >= 5 THEN quality * (0.9 + 0.1 * (seg.size_bytes % 100) / 100) ELSE quality END + 1e-9, 6) AS quality FROM seg LEFT JOIN ov USING (cluster, vid)")
+def refined_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality with a full-reference score where a member overlaps its reference; here the score is made from its size."""
+    rows = on.event_segments(spark, sf_dir)
+    vmaf = _overlaps(spark, sf_dir).join(rows.select("cluster", "vid", "size_bytes"), ["cluster", "vid"]).select("cluster", "vid", (F.col("size_bytes") % 100).alias("vmaf"))
+    return quality.refined(rows, vmaf).select("cluster", "vid", F.round(F.col("quality") + 1e-9, 6).alias("quality"))
+
+
+@query(f"WITH {FILES} SELECT count(*) FILTER (r = 1) AS n_files, count(*) FILTER (r > 1) AS n_duplicates, count(*) FILTER (r = 1 AND n_chars < 500) AS n_prunes, (SELECT count(*) FROM (SELECT source FROM documents GROUP BY source HAVING count(*) > 1)) AS n_multi FROM rk")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, dups = _files(spark, sf_dir)
+    decisions = kept.select(F.when(F.col("size_bytes") < 500, "prune").otherwise("keep").alias("action"))
+    return decide.summary(kept, dups, decisions, on.table(spark, sf_dir, "documents").select(F.col("source").alias("cluster")))
+
+
+@query("SELECT a, b, round(greatest(an / 0.05 + vn / 0.3, 1e-6), 4) AS weight FROM (SELECT l_orderkey AS a, l_partkey AS b, sum(l_linenumber)::DOUBLE AS an, count(*)::DOUBLE AS vn FROM lineitem GROUP BY ALL)")
+def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = on.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.sum("l_linenumber").alias("a_inliers"), F.count("*").alias("v_inliers"))
+    return rows.select("a", "b", F.round(align.edge_weight(Config().align), 4).alias("weight"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
