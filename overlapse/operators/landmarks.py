@@ -24,7 +24,8 @@ def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """(cid, hash, t): each run of ``size`` tokens with its token position; none in shorter texts."""
     tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"({TOKEN})"), 1)
     some = docs.select(F.col(id_col).alias("cid"), tokens.alias("tok")).filter(F.size("tok") >= size)
-    runs = F.transform(F.sequence(F.lit(1), F.size("tok") - (size - 1)), lambda i: F.concat_ws(" ", F.slice(F.col("tok"), i, size)))
+    # tokens are picked one by one: a slice would copy an array for each shingle
+    runs = F.transform(F.sequence(F.lit(0), F.size("tok") - size), lambda i: F.concat_ws(" ", *[F.get(F.col("tok"), i + k) for k in range(size)]))
     return some.select("cid", F.posexplode(runs).alias("t", "shingle")).select("cid", text_hash(F.col("shingle")).alias("hash"), F.col("t").cast("double").alias("t"))
 
 
