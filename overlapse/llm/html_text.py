@@ -33,6 +33,8 @@ BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|header|masthead|footer|side-?bar|aside|breadcrumbs?|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|social|share|sharing|related|recommend(?:ed|ations)?|comments?|comment-?list|disqus|respond|replies|pagination|pager|toolbar|widget|copyright|legal|search|contentinfo|complementary|dialog|alert)(?:$|[\s_-])",
     re.I,
 )
+#: Those that mark an article container as none: a reader's comment may be an article of its own.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies)|respond)(?:$|[\s_-])", re.I)
 #: Containers that the page itself declares to be the article.
 ARTICLE = frozenset(("article", "main"))
 #: A start tag of these closes an open paragraph.
@@ -49,6 +51,7 @@ class _Events(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.links = self.linked = 0
         self.skip: list[str] = []
+        self.hidden = 0  # article containers opened in what is skipped
         self.article = 0
         self.open: list[tuple[str, bool]] = []  # block-level elements and whether each is an article container
         self.kind = ""
@@ -63,16 +66,20 @@ class _Events(HTMLParser):
         self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.skip and ((self.skip[-1] == "p" and tag in CLOSES_P) or (self.skip == ["li"] and tag == "li")):
+            self.skip.pop()  # closed without an end tag
         if self.skip:
             if tag == self.skip[-1] and tag not in VOID:
                 self.skip.append(tag)
+            elif tag in ARTICLE:
+                self.hidden += 1
             return
         self.tags += 1
-        if tag in SKIPPED or (attrs and tag not in ("html", "body") and self.is_boiler(attrs)):
+        if tag in SKIPPED or (attrs and tag not in ("html", "body") and self.is_boiler(attrs, READERS if tag in ARTICLE else BOILER)):
             if tag in BLOCKS or tag in SKIPPED:
                 self.end_block()
             if tag not in VOID:
-                self.skip.append(tag)
+                self.skip, self.hidden = [tag], 0
             return
         if tag == "br":
             self.parts.append(" ")
@@ -85,9 +92,9 @@ class _Events(HTMLParser):
             self.end_block()
             self.article += 1
 
-    def is_boiler(self, attrs: list[tuple[str, str | None]]) -> bool:
+    def is_boiler(self, attrs: list[tuple[str, str | None]], words: re.Pattern) -> bool:
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and BOILER.search(value):
+            if name in ("class", "id", "role") and value and words.search(value):
                 return True
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
@@ -99,9 +106,11 @@ class _Events(HTMLParser):
         if self.skip:
             if tag == self.skip[-1]:
                 self.skip.pop()
-            elif tag in ("body", "html") or (tag in self.skip and tag not in VOID):
-                while self.skip and self.skip.pop() != tag:
-                    pass
+            elif tag in ARTICLE and self.hidden:
+                self.hidden -= 1
+            elif tag in ("article", "main", "body", "html"):
+                self.skip = []  # an end around what is skipped ends that too
+                self.handle_endtag(tag)
             return
         self.tags += 1
         if tag in BLOCKS or tag == "main":

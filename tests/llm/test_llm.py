@@ -50,6 +50,15 @@ def test_html_main_text():
     assert main_text(page) == "Title & more\nFirst paragraph of the article with enough words to count.\nSecond one goes on here, with markup ."[:-2] + "."
 
 
+def test_html_unclosed_and_nested():
+    from overlapse.llm.html_text import main_text
+
+    body = "A sentence of the article that is long enough to count as content, and then some more of it."
+    assert main_text(f"<article class=no-sidebar><p class=ad>Buy<p>{body}<p class=notice>Cookies<h2>Part</h2><p>{body}</article>") == f"{body}\nPart\n{body}"
+    assert main_text(f"<main><p>{body}</p><div class=ad>Buy<p>now</main><footer>f</footer>") == body
+    assert main_text(f"<article><p>{body}</p></article><aside><article>x</article>rest</aside><article class='comment'><p>{body}</p></article>") == body
+
+
 def test_html_without_article():
     from overlapse.llm.html_text import main_text
 
