@@ -543,6 +543,62 @@ def test_pipeline(spark):
     assert sizes[0] >= sizes[1] >= sizes[2] and sizes[3] >= sizes[2] and sizes[4] > 0
 
 
+def test_pipeline_against_brute_force(spark):
+    """Every stage on what the one before kept."""
+    import duckdb
+
+    import corpus_pipeline
+
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    rows = {r.doc_id: r.text for r in docs(spark).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({Q.oracle_sql()['op4_quality_rules']}) WHERE kept").fetchall()}
+    one = stages[0](spark, docs(spark), SF).cache()
+    assert {r.doc_id: r.text for r in one.collect()} == {i: rows[i] for i in kept}
+
+    first = {}
+    for i in sorted(kept):
+        for k, line in enumerate(rows[i].split("\n")):
+            if len(line) >= 32:
+                first.setdefault(line, (i, k))
+    by_length = defaultdict(list)
+    for x in first:
+        by_length[len(x)].append(x)
+    late = {x for x, at in first.items() if any(first[y] < at and distance(x, y) <= 2 for n in range(len(x) - 2, len(x) + 3) for y in by_length[n] if y != x and (y[:9] == x[:9] or y[-9:] == x[-9:]))}
+    want = {}
+    for i in kept:
+        lines = rows[i].split("\n")
+        left = [x for k, x in enumerate(lines) if len(x) < 32 or (first[x] == (i, k) and x not in late)]
+        if WORD.search("\n".join(left)):
+            want[i] = "\n".join(left)
+    two = stages[1](spark, one, SF).cache()
+    assert {r.doc_id: r.text for r in two.collect()} == want
+
+    def shingles(t):
+        w = WORD.findall(lower(t))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, group = {i: shingles(t) for i, t in want.items()}, {i: i for i in want}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    three = stages[2](spark, two, SF).cache()
+    assert {r.doc_id for r in three.collect()} == set(group.values())
+
+    four = stages[3](spark, three, SF).cache()
+    copies = Counter(r.doc_id for r in four.collect())
+    assert set(copies) == set(group.values()) and max(copies.values()) <= 2
+    model, _ = tokenizer("word_bpe_49k.json")
+    five = stages[4](spark, four, SF).collect()
+    assert Counter(r.doc_id for r in five if r.start == 0) == copies
+    for r in five[:300]:
+        x = np.array([*model.encode(want[r.doc_id], add_special_tokens=False).ids, 1], dtype="<u4")
+        assert r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[r.start : r.start + r.length].tobytes())
+
+
 def test_pipeline_stages_take_odd_documents(spark):
     import corpus_pipeline
 
