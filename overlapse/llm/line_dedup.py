@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.workspace import materialise
+from overlapse.workspace import materialise, remove
 
 MAX_EDITS = 2
 #: Shorter lines (in code points) are kept whatever they are: headings, greetings, table cells.
@@ -185,18 +185,24 @@ def line_links(classes: DataFrame, edits: int) -> DataFrame:
     glance = F.substring(F.col("ub"), F.lit(1), F.lit(4 * GLANCE))
     tails = tails.filter(within_edits(F.col("ua"), glance, edits, beginnings=True))
     pairs = tails.filter(within_edits(F.col("ua"), F.col("ub"), edits)).select("ka", "kb")
-    return pairs.unionAll(pairs.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))).distinct()
+    out = materialise(pairs, "line-pairs")
+    for done in (candidates, ids, some, met, tails):
+        remove(done)
+    return out.unionAll(out.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))).distinct()
 
 
-def judged_lines(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines without their texts, classes without theirs but with links counted, and whether an earlier class is near."""
+def judged_lines(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Lines without their texts, and classes without theirs but with links counted, and whether an earlier class is near."""
     lines = lines_of(docs)
     classes = materialise(line_classes(lines), "line-classes")
     links = materialise(line_links(classes, edits), "line-links")
     firsts = classes.select(F.struct("h1", "h2").alias("k"), "first")
     near = links.join(firsts.select(F.col("k").alias("kb"), F.col("first").alias("other")), "kb").groupBy("ka").agg(F.count("*").alias("n_links"), F.min("other").alias("nearest"))
     judged = firsts.join(near, firsts["k"] == near["ka"], "left").select("k.h1", "k.h2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("nearest") < F.col("first"), F.lit(False)).alias("late"))
-    return lines.drop("line"), judged, classes
+    judged = materialise(judged, "line-judged")
+    remove(classes)
+    remove(links)
+    return lines.drop("line"), judged
 
 
 def line_verdicts(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
@@ -207,7 +213,7 @@ def line_verdicts(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     with one id and one text are alike: their lines are kept or dropped together. An
     empty table gives an empty result; other columns are not read. Lines are compared whole.
     """
-    lines, judged, _ = judged_lines(docs, edits)
+    lines, judged = judged_lines(docs, edits)
     own = F.struct("doc_id", "d1", "d2", "line_no")
     rows = lines.join(judged, ["h1", "h2"])
     kept = (own == F.col("first")) & ~F.col("late")
@@ -222,7 +228,7 @@ def line_filter(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """
     names = docs.columns
     at = {c: f"_c{i}" for i, c in enumerate(names)}
-    lines, judged, _ = judged_lines(docs, edits)
+    lines, judged = judged_lines(docs, edits)
     own = F.struct("doc_id", "d1", "d2", "line_no")
     rows = lines.join(judged, ["h1", "h2"]).filter(~(own.eqNullSafe(F.col("first")) & ~F.col("late")))
     dropped = rows.groupBy("doc_id", "d1", "d2").agg(F.collect_set("line_no").alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "_gone")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from overlapse.workspace import materialise
+from overlapse.workspace import materialise, remove
 
 MAX_REPEATS = 2.0
 SEED = 17
@@ -175,6 +175,8 @@ def mix_documents(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, entr
     ends = permuted(rows, planned, last_only=True).filter(in_budget()).groupBy("source").agg(F.max("turn").alias("end"))
     ends = ends.select(F.col("source").alias("_s"), "end")
     limits = materialise(planned.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "blocks", "epochs", "end"), "mix-limits")
+    remove(rows)
+    remove(sources)
     text = F.coalesce(F.col(at["text"]), F.lit(""))
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("")), F.md5(text)))
     whole = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names]).withColumns({"source": F.col(at["source"]).cast("string"), "key": key})

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overlapse.llm.arrowtext import byte_steps, text_stats, trimmed
-from overlapse.workspace import materialise
+from overlapse.workspace import materialise, remove
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 ACCURACY = 0.01
@@ -157,6 +157,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     groups = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
     thin = materialise(with_stats(docs.select(*groups, "text")), "quality-stats")
     limits = materialise(fences(merged(sketch(thin))), "quality-fences")
+    remove(thin)
     whole = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names], *groups)
     rows = judge(with_stats(whole, at["text"], keep_text=True), limits)
     return rows.filter("_kept").select(*[F.col(at[c]).alias(c) for c in names])

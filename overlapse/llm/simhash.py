@@ -9,6 +9,7 @@ equi-join with the segments of all fingerprints, and full distances verified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,7 +164,7 @@ SIMILARITY = 0.8
 #: 0.8, 9 on average and 14 at most of the pairs measured.
 FAR = 18
 #: Segments of a fingerprint that near copies are looked up by, and the least certain bits of each that a probe flips.
-PROBED, FLIPS = 3, 6
+PROBED, FLIPS = 4, 4
 #: Nodes' names that are broadcast to pick the texts of candidates; beyond it they are joined by shuffle.
 BROADCAST_NODES = 200_000
 
@@ -174,7 +175,8 @@ def probed_segments() -> list[tuple[int, int]]:
 
 
 def with_signature(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, k1, k2, fp, weak): a row's name by its words, its fingerprint, and per segment its least certain bits.
+    """(doc_id, k1, k2, fp, n, weak): a row's name by its words, its fingerprint, its distinct shingles' number, and
+    per segment its least certain bits.
 
     A bit is the less certain the closer its sum is to half the shingles: those are the
     bits that a few changed shingles turn over.
@@ -193,10 +195,10 @@ def with_signature(docs: DataFrame, width: int) -> DataFrame:
                 weak = np.concatenate(weak, axis=1).view(np.int64)
                 names = names_of(norm)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, weak.size + 1, weak.shape[1]), pa.int32()), pa.array(weak.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(pack_bits(margin > 0)), lists], ["doc_id", "k1", "k2", "fp", "weak"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(pack_bits(margin > 0)), pa.array([len(np.unique(hashes[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)], pa.int64()), lists], ["doc_id", "k1", "k2", "fp", "n", "weak"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, k1 long, k2 long, fp long, weak array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, k1 long, k2 long, fp long, n long, weak array<long>")
 
 
 def names_of(norm: list[bytes]) -> np.ndarray:
@@ -220,6 +222,30 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("text").mapInArrow(trimmed(run), "k1 long, set array<long>")
 
 
+def lookup_keys() -> tuple[Column, Column]:
+    """(own, probes): arrays of keys of (fp, n, weak), a segment and a step of shingles' numbers in each.
+
+    Sets of SIMILARITY differ in size by half a step at most, so a probe looks into its own
+    step and the nearer of the steps beside it.
+    """
+    at = F.log(F.greatest("n", F.lit(1)).cast("double")) / (-2 * math.log(SIMILARITY)) + 1
+    step = F.floor(at)
+    beside = step + F.when(at - step < 0.5, -1).otherwise(1)
+
+    def key(fp: Column, k: int, first: int, size: int, step: Column) -> Column:
+        return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << size) - 1)) + F.lit(k << 40) + F.shiftleft(step, 44)
+
+    def keys(flipped: Column, k: int, first: int, size: int, step: Column) -> Column:
+        return F.transform(flipped, lambda x: key(x, k, first, size, step))
+
+    own, probes = [], []
+    for k, (first, size) in enumerate(probed_segments()):
+        own.append(key(F.col("fp"), k, first, size, step))
+        flipped = F.aggregate(F.slice("weak", k * FLIPS + 1, FLIPS), F.array("fp"), lambda found, bit: F.concat(found, F.transform(found, lambda x: x.bitwiseXOR(bit))))
+        probes += [keys(flipped, k, first, size, where) for where in (step, beside)]
+    return F.array(*own), F.flatten(F.array(*probes))
+
+
 def near_copies(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, k1, component_id): rows with the least doc_id that they reach through near copies.
 
@@ -229,22 +255,20 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     Rows without a doc_id are linked by equal words only.
     """
     table = materialise(with_signature(docs, width), "simhash-signatures")
-    nodes = materialise(table.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("weak").alias("weak")), "simhash-nodes")
-    probe, index = [], []
-    for k, (at, size) in enumerate(probed_segments()):
-
-        def key(fp: Column, at: int = at, size: int = size, k: int = k) -> Column:
-            return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << size) - 1)).bitwiseOR(F.lit(k << 40))
-
-        index.append(key(F.col("fp")))
-        flipped = [F.col("fp")]
-        for i in range(FLIPS):
-            flipped += [x.bitwiseXOR(F.col("weak")[k * FLIPS + i]) for x in flipped]
-        probe += [key(x) for x in flipped]
-    left = nodes.select(F.col("k1").alias("a"), F.col("fp").alias("fa"), F.explode(F.array(*probe)).alias("key"))
-    right = nodes.select(F.col("k1").alias("b"), F.col("fp").alias("fb"), F.explode(F.array(*index)).alias("key"))
-    close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR)
-    pairs = materialise(left.join(right, "key").filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    nodes = materialise(table.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("weak").alias("weak")), "simhash-nodes")
+    own, probes = lookup_keys()
+    prints = nodes.dropDuplicates(["fp", "n"])
+    left = prints.select(F.col("fp").alias("fa"), F.explode(probes).alias("key"))
+    right = prints.select(F.col("fp").alias("fb"), F.explode(own).alias("key"))
+    far = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
+    met = left.join(right, "key").filter((F.col("fa") != F.col("fb")) & (far <= FAR)).select("fa", "fb")
+    # equal fingerprints of different words: the first of them stands in for the others
+    same = nodes.groupBy("fp").agg(F.min("k1").alias("low"), F.count("*").alias("k")).filter("k > 1").select("fp", "low")
+    name = nodes.select("fp", F.col("k1"))
+    across = met.distinct().join(name.select(F.col("fp").alias("fa"), F.col("k1").alias("a")), "fa").join(name.select(F.col("fp").alias("fb"), F.col("k1").alias("b")), "fb")
+    twins = name.join(same, "fp").filter("k1 <> low").select(F.col("low").alias("a"), F.col("k1").alias("b"))
+    pairs = across.select("a", "b").unionByName(twins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs, "simhash-pairs")
     ids = materialise(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "simhash-ids")
     few = ids.count() <= BROADCAST_NODES
     # texts of nodes that are in a pair, found by their least doc_id, and told from others of that id by their names
@@ -253,13 +277,14 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     sets = materialise(shingle_sets(texts, width).dropDuplicates(["k1"]), "simhash-sets")
     both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("k1").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    links_ = both.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    found = connected_components(materialise(links_.distinct(), "simhash-links"))
+    edges = materialise(both.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "simhash-links")
+    found = connected_components(edges)
     grouped = nodes.groupBy("k1").agg(F.min("least").alias("least")).join(found.select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = materialise(grouped.join(least, "component").select("k1", "component_id"), "simhash-groups")
-    remove(pairs)
-    return table.select("doc_id", "k1").join(groups, "k1")
+    out = materialise(table.select("doc_id", "k1").join(grouped.join(least, "component").select("k1", "component_id"), "k1"), "simhash-groups")
+    for done in (table, nodes, pairs, ids, sets, edges):
+        remove(done)
+    return out
 
 
 def simhash_filter(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -271,7 +296,7 @@ def simhash_filter(docs: DataFrame, width: int = 5) -> DataFrame:
     names = docs.columns
     at = {c: f"_c{i}" for i, c in enumerate(names)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names])
-    found = materialise(near_copies(docs, width), "simhash-found")
+    found = near_copies(docs, width)
     keep = found.groupBy("component_id").agg(F.min("doc_id").alias("_id")).select("_id")
     whole = renamed.join(keep.filter("_id is not null").distinct(), F.col(at["doc_id"]) == F.col("_id"), "left_semi")
     one = whole.dropDuplicates([at["doc_id"]]) if has_repeats(found) else whole
