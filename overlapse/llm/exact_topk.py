@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from overlapse.workspace import materialise, new_path
 
 PIVOTS = 24
-#: Vectors among which the pivots are chosen; every vector gets its distances to all of them.
+#: Vectors, about, among which the pivots are chosen; every vector gets its distances to all of them.
 PIVOT_SAMPLE = 512
 #: Queries that are held by a task at once.
 BLOCK = 4096
@@ -120,8 +120,10 @@ def exact_topk(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int
     ints = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(good)
     ints = ints.select("vec_id", F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("double")).alias("v"))
     ints = materialise(ints, "topk-vectors")
-    width = ints.agg(F.max(F.size("v"))).head()[0] or 0
-    sample = ints.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("v").toArrow()
+    width, rows = (x or 0 for x in ints.agg(F.max(F.size("v")), F.count("*")).head())
+    # drawn evenly by hash where the rows are: pivots only tighten bounds, any choice gives the same result
+    drawn = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, PIVOT_SAMPLE / max(1, rows)))
+    sample = ints.filter(drawn).select("v").toArrow()
     anchor = choose_pivots(matrix(sample.column("v").combine_chunks(), width) if len(sample) else np.zeros((0, width)), pivots)
 
     def precompute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
