@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from overlapse.llm.arrowtext import byte_steps, text_stats, trimmed
 from overlapse.workspace import materialise
 
-#: Labelled rows that the trees are fitted on, at most: those with the smallest hashes of their ids.
+#: Labelled rows that the trees are fitted on, about: drawn evenly by hash where there are more.
 MAX_TRAIN_ROWS = 50_000
+DRAWS = 1_000_000
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "digits", "marks", "stops", "distinct", "line_words")
 
 
@@ -136,9 +137,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     table = materialise(docs.select("doc_id", "text").mapInArrow(trimmed(measure), f"doc_id {id_kind}, x array<double>"), "quality-features")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
     known = labels.select("doc_id", F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    sample = table.filter(~fold).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows).select("x", (F.col("y") >= 0.5).cast("double").alias("y")).toArrow()
+    labelled = table.filter(~fold).join(known, "doc_id").select("x", (F.col("y") >= 0.5).cast("double").alias("y"))
+    # rows are drawn where they are, by their hashes, so that no more than the bound (on average) comes to the driver
+    share = min(1.0, max_train_rows / max(1, labelled.count()))
+    sample = labelled.filter(F.pmod(F.xxhash64("x"), F.lit(DRAWS)) < F.lit(share * DRAWS)).toArrow()
     x = np.array(sample.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if len(sample) else np.zeros((0, len(FEATURES)))
-    forest = fit(x, sample.column("y").to_numpy())
+    y = sample.column("y").to_numpy()
+    order = np.lexsort((y, *x.T)) if len(y) else np.zeros(0, dtype=int)
+    forest = fit(x[order], y[order])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
