@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,6 +166,9 @@ SIMILARITY = 0.8
 FAR = 18
 #: Segments of a fingerprint that near copies are looked up by, and the least certain bits of each that a probe flips.
 PROBED, FLIPS = 4, 4
+#: One text in so many is drawn to find common shingles; those met COMMON times there stand last in every prefix, the
+#: most common at the very end, COMMON_MOST of them at most.
+DRAWN, COMMON, COMMON_MOST = 16, 3, 100_000
 #: Nodes' names that are broadcast to pick the texts of candidates; beyond it they are joined by shuffle.
 BROADCAST_NODES = 200_000
 
@@ -174,13 +178,46 @@ def probed_segments() -> list[tuple[int, int]]:
     return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(PROBED)]
 
 
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that many of the drawn texts have, and their counts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in byte_steps(batch.column(0), 2 << 20):
+                hashes, first, _ = shingle_hashes(batch.column(0).slice(start, stop - start), width)
+                sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["h"])
+
+    drawn = docs.filter(F.pmod(F.xxhash64("text"), F.lit(DRAWN)) == 0).select("text").mapInArrow(trimmed(run), "h long")
+    found = drawn.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
+    hashes, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a text's distinct shingles, in an order that all texts share: rare ones, then by hash.
+
+    Two sets of SIMILARITY share ``least`` shingles of either at least, so they share one of
+    those that remain when ``least - 1`` are taken off the end of each. Any order is exact.
+    """
+    least = math.ceil(SIMILARITY * len(shingles) - 1e-9)
+    if len(common[0]) and len(shingles):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        n = np.where(common[0][at] == shingles, common[1][at], 0)
+        if n.any():
+            shingles = shingles[np.argsort(n, kind="stable")]
+    return shingles[: len(shingles) - least + 1] if least else shingles
+
+
 def with_signature(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, k1, k2, fp, n, weak): a row's name by its words, its fingerprint, its distinct shingles' number, and
-    per segment its least certain bits.
+    """(doc_id, k1, k2, fp, n, weak, prefix): a row's name by its words, its fingerprint, its distinct shingles' number,
+    per segment its least certain bits, and the first of its shingles.
 
     A bit is the less certain the closer its sum is to half the shingles: those are the
     bits that a few changed shingles turn over.
     """
+    common = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +231,14 @@ def with_signature(docs: DataFrame, width: int) -> DataFrame:
                     weak.append(np.uint64(1) << (at + size - 1 - order).astype(np.uint64))
                 weak = np.concatenate(weak, axis=1).view(np.int64)
                 names = names_of(norm)
+                sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                least = [prefix(x, common).view(np.int64) for x in sets]
+                heads = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, least)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *least])))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, weak.size + 1, weak.shape[1]), pa.int32()), pa.array(weak.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(pack_bits(margin > 0)), pa.array([len(np.unique(hashes[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)], pa.int64()), lists], ["doc_id", "k1", "k2", "fp", "n", "weak"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(pack_bits(margin > 0)), pa.array([len(x) for x in sets], pa.int64()), lists, heads], ["doc_id", "k1", "k2", "fp", "n", "weak", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, k1 long, k2 long, fp long, n long, weak array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, k1 long, k2 long, fp long, n long, weak array<long>, prefix array<long>")
 
 
 def names_of(norm: list[bytes]) -> np.ndarray:
@@ -246,12 +286,48 @@ def lookup_keys() -> tuple[Column, Column]:
     return F.array(*own), F.flatten(F.array(*probes))
 
 
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> tuple[DataFrame, bool]:
+    """The pairs (a, b) of names whose shingle sets have SIMILARITY or more, and whether their names are few."""
+    ids = materialise(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "simhash-ids")
+    few = ids.count() <= BROADCAST_NODES
+    # texts of nodes that are in a pair, found by their least doc_id, and told from others of that id by their names
+    wanted = nodes.join(F.broadcast(ids) if few else ids, "k1", "left_semi").select(F.col("least").alias("_id")).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("_id"), "left_semi")
+    sets = materialise(shingle_sets(texts, width).dropDuplicates(["k1"]), "simhash-sets")
+    both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("k1").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    edges = materialise(both.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "simhash-links")
+    remove(ids)
+    remove(sets)
+    return edges, few
+
+
+def prefix_pairs(heads: DataFrame) -> DataFrame:
+    """(a, b): pairs of (k1, component, n, prefix) that may have SIMILARITY, all of those between components.
+
+    The first shingle that two such texts share stands in both prefixes, and what comes
+    after it must suffice. Keys of one component only are dropped before pairs are made.
+    """
+    keyed = heads.select("k1", "component", "n", F.posexplode("prefix").alias("pos", "key"))
+    own = W.partitionBy("key")
+    met = keyed.withColumns({"_low": F.min("component").over(own), "_high": F.max("component").over(own)}).filter("_low < _high")
+    met = materialise(met.select("k1", "component", "n", "pos", "key").distinct(), "simhash-prefixes")
+    left, right = (met.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("k1", "component", "n", "pos")]) for x in "ab")
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    near = (F.col("component_a") < F.col("component_b")) & (most + 1e-6 >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")))
+    out = materialise(left.join(right, "key").filter(near).select(F.least("k1_a", "k1_b").alias("a"), F.greatest("k1_a", "k1_b").alias("b")).distinct(), "simhash-pairs")
+    remove(met)
+    return out
+
+
 def near_copies(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, k1, component_id): rows with the least doc_id that they reach through near copies.
 
     Rows with the same words are one node. Nodes meet where a segment of one's fingerprint,
-    with any of its least certain bits flipped, equals the other's; pairs up to FAR bits
-    apart are compared by their shingles, so that every link is one of SIMILARITY or more.
+    with any of its least certain bits flipped, equals the other's, up to FAR bits apart: that
+    brings most near copies together cheaply. Whatever these tables miss is found by an exact
+    rule between the components so far (``prefix_pairs``). All pairs are compared by their
+    shingles, so that every link is one of SIMILARITY or more.
     Rows without a doc_id are linked by equal words only.
     """
     table = materialise(with_signature(docs, width), "simhash-signatures")
@@ -269,20 +345,21 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     twins = name.join(same, "fp").filter("k1 <> low").select(F.col("low").alias("a"), F.col("k1").alias("b"))
     pairs = across.select("a", "b").unionByName(twins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialise(pairs, "simhash-pairs")
-    ids = materialise(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "simhash-ids")
-    few = ids.count() <= BROADCAST_NODES
-    # texts of nodes that are in a pair, found by their least doc_id, and told from others of that id by their names
-    wanted = nodes.join(F.broadcast(ids) if few else ids, "k1", "left_semi").select(F.col("least").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = materialise(shingle_sets(texts, width).dropDuplicates(["k1"]), "simhash-sets")
-    both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("k1").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    edges = materialise(both.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "simhash-links")
-    found = connected_components(edges)
-    grouped = nodes.groupBy("k1").agg(F.min("least").alias("least")).join(found.select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = materialise(table.select("doc_id", "k1").join(grouped.join(least, "component").select("k1", "component_id"), "k1"), "simhash-groups")
-    for done in (table, nodes, pairs, ids, sets, edges):
+    edges, few = alike(pairs, nodes, docs, width)
+    found = materialise(connected_components(edges).select(F.col("node").alias("k1"), "component"), "simhash-found")
+    part = F.broadcast(found) if few else found
+    heads = table.join(part, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    more = prefix_pairs(heads)
+    late, few = alike(more, nodes, docs, width)
+    grouped = nodes.groupBy("k1").agg(F.min("least").alias("least")).join(found, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    grouped = materialise(grouped, "simhash-grouped")
+    of = grouped.select("k1", "component")
+    across = late.join(of.select(F.col("k1").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("k1").alias("b"), F.col("component").alias("cb")), "b")
+    joined = connected_components(across.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
+    whole = grouped.join(joined, "component", "left").withColumn("component", F.coalesce("_whole", "component")).drop("_whole")
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = materialise(table.select("doc_id", "k1").join(whole.join(least, "component").select("k1", "component_id"), "k1"), "simhash-groups")
+    for done in (table, nodes, pairs, edges, found, more, late, grouped):
         remove(done)
     return out
 

@@ -444,6 +444,33 @@ def test_near_copies_are_found(spark):
     assert sum(f for f, w in zip(found, want) if w) >= 0.95 * sum(want) > 50
 
 
+def test_near_copies_of_any_kind_are_found(spark):
+    """Appended, truncated, short and repeated-passage copies: groups are those of all pairs of 0.8 and more."""
+    from overlapse.llm.simhash import near_copies
+
+    rng, texts = np.random.default_rng(11), []
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    passage = [str(x) for x in rng.choice(vocab, 40)]
+    for k in range(400):
+        words = [str(x) for x in rng.choice(vocab, rng.integers(10, 25) if k % 4 == 3 else rng.integers(60, 300))]
+        n = len(words)
+        if k % 4 == 0:
+            other = words + [str(x) for x in rng.choice(vocab, int(n * 0.2))]
+        elif k % 4 == 1:
+            other = words[: int(n * 0.85)]
+        elif k % 4 == 2:
+            at = int(rng.integers(0, n - n // 10))
+            other = words + words[at : at + n // 10] * 3
+        else:
+            other = words + [str(rng.choice(vocab))]
+        tail = passage if k % 7 == 0 and k % 4 != 3 else []
+        texts += [" ".join(words + tail), " ".join(other + tail)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    want = {k: k - 1 if k % 2 and len(sets[k] & sets[k - 1]) >= 0.8 * len(sets[k] | sets[k - 1]) else k for k in range(800)}
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).collect()}
+    assert got == want and sum(a != b for a, b in want.items()) > 250
+
+
 def test_simhash_odd(spark):
     from overlapse.llm.simhash import simhash_filter, simhash_groups
 
