@@ -210,9 +210,14 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nd
     return shingles[: len(shingles) - least + 1] if least else shingles
 
 
+def text_key(text: str = "text") -> Column:
+    """A row's text as a number; with its doc_id it tells a row from others."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def with_signature(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, k1, k2, fp, n, weak, prefix): a row's name by its words, its fingerprint, its distinct shingles' number,
-    per segment its least certain bits, and the first of its shingles.
+    """(doc_id, t, k1, k2, fp, n, weak, prefix): its text's key, a row's name by its words, its fingerprint, its distinct
+    shingles' number, per segment its least certain bits, and the first of its shingles.
 
     A bit is the less certain the closer its sum is to half the shingles: those are the
     bits that a few changed shingles turn over.
@@ -221,8 +226,8 @@ def with_signature(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in byte_steps(batch.column(1), 2 << 20):
-                hashes, first, norm = shingle_hashes(batch.column(1).slice(start, stop - start), width)
+            for start, stop in byte_steps(batch.column(2), 2 << 20):
+                hashes, first, norm = shingle_hashes(batch.column(2).slice(start, stop - start), width)
                 margin = 2 * bit_sums(hashes, first) - np.diff(first)[:, None]
                 weak = []
                 for at, size in probed_segments():
@@ -235,10 +240,10 @@ def with_signature(docs: DataFrame, width: int) -> DataFrame:
                 least = [prefix(x, common).view(np.int64) for x in sets]
                 heads = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, least)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *least])))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, weak.size + 1, weak.shape[1]), pa.int32()), pa.array(weak.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(pack_bits(margin > 0)), pa.array([len(x) for x in sets], pa.int64()), lists, heads], ["doc_id", "k1", "k2", "fp", "n", "weak", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(pack_bits(margin > 0)), pa.array([len(x) for x in sets], pa.int64()), lists, heads], ["doc_id", "t", "k1", "k2", "fp", "n", "weak", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, k1 long, k2 long, fp long, n long, weak array<long>, prefix array<long>")
+    return docs.select("doc_id", text_key().alias("t"), "text").mapInArrow(trimmed(run), f"doc_id {kind}, t long, k1 long, k2 long, fp long, n long, weak array<long>, prefix array<long>")
 
 
 def names_of(norm: list[bytes]) -> np.ndarray:
@@ -290,9 +295,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> tu
     """The pairs (a, b) of names whose shingle sets have SIMILARITY or more, and whether their names are few."""
     ids = materialise(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "simhash-ids")
     few = ids.count() <= BROADCAST_NODES
-    # texts of nodes that are in a pair, found by their least doc_id, and told from others of that id by their names
-    wanted = nodes.join(F.broadcast(ids) if few else ids, "k1", "left_semi").select(F.col("least").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("_id"), "left_semi")
+    # texts of nodes that are in a pair, found by their first row's id and text
+    wanted = nodes.join(F.broadcast(ids) if few else ids, "k1", "left_semi").select(F.col("least.doc_id").alias("_id"), F.col("least.t").alias("_t")).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_t")), "left_semi")
     sets = materialise(shingle_sets(texts, width).dropDuplicates(["k1"]), "simhash-sets")
     both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("k1").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -321,17 +326,19 @@ def prefix_pairs(heads: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, k1, component_id): rows with the least doc_id that they reach through near copies.
+    """(doc_id, t, k1, component_id, component_t): rows with the first row that they reach through near copies.
+
+    The first is the one with the least doc_id, then the least key of its text; rows without
+    a doc_id come last.
 
     Rows with the same words are one node. Nodes meet where a segment of one's fingerprint,
     with any of its least certain bits flipped, equals the other's, up to FAR bits apart: that
     brings most near copies together cheaply. Whatever these tables miss is found by an exact
     rule between the components so far (``prefix_pairs``). All pairs are compared by their
     shingles, so that every link is one of SIMILARITY or more.
-    Rows without a doc_id are linked by equal words only.
     """
     table = materialise(with_signature(docs, width), "simhash-signatures")
-    nodes = materialise(table.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("weak").alias("weak")), "simhash-nodes")
+    nodes = materialise(table.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("weak").alias("weak")), "simhash-nodes")
     own, probes = lookup_keys()
     prints = nodes.dropDuplicates(["fp", "n"])
     left = prints.select(F.col("fp").alias("fa"), F.explode(probes).alias("key"))
@@ -357,8 +364,9 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     across = late.join(of.select(F.col("k1").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("k1").alias("b"), F.col("component").alias("cb")), "b")
     joined = connected_components(across.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
     whole = grouped.join(joined, "component", "left").withColumn("component", F.coalesce("_whole", "component")).drop("_whole")
-    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = materialise(table.select("doc_id", "k1").join(whole.join(least, "component").select("k1", "component_id"), "k1"), "simhash-groups")
+    least = whole.groupBy("component").agg(F.min("least").alias("of"))
+    firsts = whole.drop("least").join(least, "component").select("k1", F.col("of.doc_id").alias("component_id"), F.col("of.t").alias("component_t"))
+    out = materialise(table.select("doc_id", "t", "k1").join(firsts, "k1"), "simhash-groups")
     for done in (table, nodes, pairs, edges, found, more, late, grouped):
         remove(done)
     return out
@@ -367,20 +375,16 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
 def simhash_filter(docs: DataFrame, width: int = 5) -> DataFrame:
     """One row of each group of near copies, the one with the smallest doc_id; the columns of ``docs``.
 
-    Of rows with that id (repeated rows) one stays. Of groups without any id one row stays. A
-    null text counts as empty; empty texts are one group.
+    Rows are told by their words, not by their ids: rows without an id, and rows of one id with
+    different texts, stay unless they are near copies. Of rows with one id and text (repeated
+    rows) one stays. A null text counts as empty; empty texts are one group.
     """
     names = docs.columns
     at = {c: f"_c{i}" for i, c in enumerate(names)}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names])
+    renamed = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names]).withColumn("_key", text_key(at["text"]))
     found = near_copies(docs, width)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("_id")).select("_id")
-    whole = renamed.join(keep.filter("_id is not null").distinct(), F.col(at["doc_id"]) == F.col("_id"), "left_semi")
-    one = whole.dropDuplicates([at["doc_id"]]) if has_repeats(found) else whole
-    lost = renamed.filter(F.col(at["doc_id"]).isNull()).limit(1).join(keep.filter("_id is null").limit(1), F.lit(True), "left_semi")
-    out = one.unionByName(lost) if found.filter("doc_id is null").limit(1).count() else one
-    return out.select(*[F.col(at[c]).alias(c) for c in names])
-
-
-def has_repeats(table: DataFrame) -> bool:
-    return bool(table.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("component_t"))).groupBy("doc_id", "t").count()
+    keep = firsts.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    whole = renamed.join(keep, F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_t")), "left_semi")
+    one = whole.dropDuplicates([at["doc_id"], "_key"]) if firsts.filter("count > 1").limit(1).count() else whole
+    return one.select(*[F.col(at[c]).alias(c) for c in names])

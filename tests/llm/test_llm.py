@@ -481,6 +481,18 @@ def test_simhash_odd(spark):
     assert simhash_groups(empty_docs(spark)).count() == 0 and simhash_filter(empty_docs(spark)).count() == 0
 
 
+def test_simhash_filter_tells_rows_by_their_words(spark):
+    from overlapse.llm.simhash import simhash_filter
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(80)) for _ in range(9)]
+    rows = [(None, x) for x in texts[:4]] + [(None, texts[0] + " end"), (None, texts[1])]  # a near copy and a copy among rows without ids
+    rows += [(7, texts[4]), (7, texts[5]), (7, texts[4]), (8, texts[6]), (None, texts[6] + " end")]
+    kept = [(r.doc_id, r.text) for r in simhash_filter(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 7 and {t.removesuffix(" end") for _, t in kept} == set(texts[:7])
+    assert {t for i, t in kept if i == 7} == set(texts[4:6]) and (8, texts[6]) in kept and (None, texts[6] + " end") not in kept
+
+
 # --- 8: mixing ------------------------------------------------------------------------------------
 
 
