@@ -166,10 +166,12 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page: blocks in page order, joined by newlines; empty without one.
 
     Ratios are taken as log(1 + text / tags), so that one very long paragraph
-    doesn't outweigh the others. Where the page declares an article container,
-    the dense cluster votes for the container and every line of it is kept, short
-    ones too; otherwise the content region reaches from the first dense line to
-    the last, with headings just before it, and link lists inside it are left out.
+    doesn't outweigh the others. The content region reaches from the first dense line
+    to the last, with headings just before it, and link lists inside it are left out.
+    Where the page declares an article container for which the dense cluster votes,
+    all of the container counts as dense, short lines too, and what lies before and
+    after it has regions of its own, from lines that are dense themselves and not
+    only by their neighbours.
     """
     if not html:
         return ""
@@ -183,7 +185,19 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     dense = ratio >= two_means(ratio)
     inside = np.array([x[2] > 0 for x in lines])
     if inside.any() and (dense & inside).any() and chars[inside].sum() >= 0.25 * (chars - linked).sum():
-        return "\n".join(x[0] for x, keep in zip(lines, inside, strict=True) if keep)
+        listed = linked > 0.5 * chars
+        heading = np.array([x[4] in ("h1", "h2", "h3") for x in lines])
+        keep = inside & (~listed | heading)
+        own = dense & (np.log1p((chars - linked) / tags) >= two_means(ratio)) & ~listed
+        for run in np.split(np.arange(len(lines)), np.flatnonzero(np.diff(inside)) + 1):
+            at = run[own[run]] if not inside[run[0]] else run[:0]
+            if len(at):
+                first = int(at[0])
+                while first > run[0] and heading[first - 1]:
+                    first -= 1
+                region = np.arange(first, at[-1] + 1)
+                keep[region] = ~listed[region] | heading[region]
+        return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
     at = np.flatnonzero(dense & (linked <= 0.5 * chars))
     if not len(at):
         at = np.flatnonzero(linked <= 0.5 * chars)

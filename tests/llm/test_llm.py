@@ -59,6 +59,15 @@ def test_html_unclosed_and_nested():
     assert main_text(f"<article><p>{body}</p></article><aside><article>x</article>rest</aside><article class='comment'><p>{body}</p></article>") == body
 
 
+def test_html_container_is_not_all():
+    from overlapse.llm.html_text import main_text
+
+    long = ("This is a long sentence of the main text, which goes on for quite a while. " * 4).strip()
+    links = "<ul><li><a href=1>First other story</a><li><a href=2>Second other story</a></ul>"
+    page = f"<body><div><a href=0>Home</a></div><article><h1><a href=t>Title</a></h1><p>{long}</p><p>Short.</p>{links}</article><div><h2>Body</h2><p>{long}</p><p>{long}</p></div><div><a href=3>More</a></div></body>"
+    assert main_text(page) == "\n".join(["Title", long, "Short.", "Body", long, long])
+
+
 def test_html_without_article():
     from overlapse.llm.html_text import main_text
 
