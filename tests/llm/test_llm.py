@@ -480,6 +480,19 @@ def test_near_copies_of_any_kind_are_found(spark):
     assert got == want and sum(a != b for a, b in want.items()) > 250
 
 
+def test_near_copies_of_equal_fingerprints(spark):
+    """A repeated word makes one fingerprint of them all; near copies meet whichever comes first."""
+    from overlapse.llm.simhash import fingerprints, near_copies
+
+    rng, texts = np.random.default_rng(6), []
+    for _ in range(6):
+        words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(80)]
+        texts += [" ".join(["again"] * 500 + words), " ".join(["again"] * 500 + words + ["end"])]
+    assert len(set(fingerprints(pa.array(texts), 5))) == 1
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).collect()}
+    assert got == {k: k - k % 2 for k in range(12)}
+
+
 def test_simhash_odd(spark):
     from overlapse.llm.simhash import simhash_filter, simhash_groups
 
