@@ -137,10 +137,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     table = materialise(docs.select("doc_id", "text").mapInArrow(trimmed(measure), f"doc_id {id_kind}, x array<double>"), "quality-features")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
     known = labels.select("doc_id", F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    labelled = table.filter(~fold).join(known, "doc_id").select("x", (F.col("y") >= 0.5).cast("double").alias("y"))
-    # rows are drawn where they are, by their hashes, so that no more than the bound (on average) comes to the driver
-    share = min(1.0, max_train_rows / max(1, labelled.count()))
-    sample = labelled.filter(F.pmod(F.xxhash64("x"), F.lit(DRAWS)) < F.lit(share * DRAWS)).toArrow()
+    labelled = table.filter(~fold).join(known, "doc_id").select("x", F.xxhash64("doc_id", "x").alias("draw"), (F.col("y") >= 0.5).cast("double").alias("y"))
+    # rows are drawn where they are, by hashes of id and features, so that copies are drawn one by one; some more than
+    # the bound, of which the first in the hashes' order come to the driver
+    share = max_train_rows / max(1, labelled.count())
+    if share < 1:
+        part = F.pmod("draw", F.lit(DRAWS))
+        labelled = labelled.filter(part < F.lit(1.1 * share * DRAWS)).orderBy(part, "draw").limit(max_train_rows)
+    sample = labelled.select("x", "y").toArrow()
     x = np.array(sample.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if len(sample) else np.zeros((0, len(FEATURES)))
     y = sample.column("y").to_numpy()
     order = np.lexsort((y, *x.T)) if len(y) else np.zeros(0, dtype=int)

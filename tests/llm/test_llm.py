@@ -291,6 +291,18 @@ def test_classifier_odd(spark):
     assert quality_scores(empty_docs(spark), spark.createDataFrame([(0, 1)], "doc_id long, quality int")).count() == 0
 
 
+def test_classifier_draws_copies_one_by_one(spark, monkeypatch):
+    from overlapse.llm import quality_model
+
+    rows = [(i, "copy of one text" if i % 3 == 0 else f"text {'word ' * (i % 97)}{i}") for i in range(1200)]
+    seen, fit = [], quality_model.fit
+    monkeypatch.setattr(quality_model, "fit", lambda x, y, *a, **k: (seen.append(x), fit(x, y, *a, **k))[1])
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    quality_model.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_train_rows=200).count()
+    groups = Counter(map(bytes, seen[0]))
+    assert 150 <= len(seen[0]) <= 200 and 30 <= max(groups.values()) <= 110
+
+
 # --- 5 and 7: tokens -------------------------------------------------------------------------
 
 
