@@ -11,8 +11,14 @@ characters shorter. Lengths and counts of some characters, which t edits can cha
 2 t in all, are compared in the join itself. Candidates are verified with a bit-parallel
 edit distance over the band of 2 t + 1 diagonals.
 
-A line is dropped if an equal line stands earlier, or if its class is within t edits
-of a class that begins earlier. Earlier means by doc_id, then by line number.
+Every line that has a word is judged. A pair may differ by one edit for every
+``EDIT_CHARS`` characters of its shorter line, ``MAX_EDITS`` at most: shorter lines meet as
+equal lines only, so that "Yes." and "No." stay apart. Each number of edits has segments of
+its own.
+
+A line is dropped if an equal line stands earlier, or if its class is within reach
+of a class that begins earlier. Earlier means by doc_id, then by line number; of rows with
+one id and one text (repeated rows) the first stands before the others.
 """
 
 from __future__ import annotations
@@ -20,11 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.workspace import materialise, remove
+from overlapse.workspace import materialise, release, remove
 
 MAX_EDITS = 2
-#: Shorter lines (in code points) are kept whatever they are: headings, greetings, table cells.
-MIN_CHARS = 32
+#: Characters (code points) of the shorter line for each edit that a pair may differ by.
+EDIT_CHARS = 16
+WORD = r"[^\x20\x09-\x0D]"
 
 
 #: Segments' sizes are multiples of this; a line must hold one for each segment.
@@ -40,7 +47,7 @@ def segment_size(length: Column, edits: int) -> Column:
 def segment_key(line: Column, length: Column, i: int, edits: int, size: Column, shift: int) -> Column:
     """The key of segment ``i`` of a UTF-32 line, or of the substring that is shifted against it."""
     start = i * size if 2 * i <= edits else length - (edits + 1 - i) * size
-    return F.xxhash64(F.lit(i), size, F.substring(line, 4 * (start + shift) + 1, 4 * size))
+    return F.xxhash64(F.lit(edits << 8 | i), size, F.substring(line, 4 * (start + shift) + 1, 4 * size))
 
 
 def line_keys(line: Column, length: Column, edits: int) -> Column:
@@ -59,6 +66,22 @@ def line_keys(line: Column, length: Column, edits: int) -> Column:
     return F.when(size == shorter, both).otherwise(F.concat(both, F.array(*other)))
 
 
+def allowed(shorter: Column, edits: int) -> Column:
+    """Edits by which a pair may differ, from its shorter line's length."""
+    return F.least(F.floor(shorter / EDIT_CHARS).cast("int"), F.lit(edits))
+
+
+def all_keys(line: Column, length: Column, edits: int) -> Column:
+    """The keys of ``line_keys`` for each number of edits that pairs with this line may have."""
+    out = []
+    for e in range(1, edits + 1):
+        # the longer line of a pair is up to e characters longer than the shorter one
+        fits = (length >= e * EDIT_CHARS) & (F.lit(True) if e == edits else length < (e + 1) * EDIT_CHARS + e)
+        own = F.transform(line_keys(line, length, e), lambda k: F.struct(k["key"].alias("key"), k["own"].alias("own"), k["first"].alias("first"), F.lit(e).alias("edits")))  # noqa: B023
+        out.append(F.when(fits, own))
+    return F.flatten(F.array_compact(F.array(*out)))
+
+
 def char_counts(line: Column) -> Column:
     """The counts, modulo 32, in one number."""
     total = F.lit(0).cast("bigint")
@@ -117,12 +140,35 @@ def within_edits(a: Column, b: Column, edits: int, beginnings: bool = False) ->
     return F.when(m == 0, F.lit(True) if beginnings else n <= edits).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(m.cast("int") - 1, F.lit(0))), first, step, accepts))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, line_no, line, h1, h2): a row a line that may be dropped; d1, d2 name the text."""
-    named = docs.select("doc_id", "text").filter("text is not null").select("doc_id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), F.split("text", "\n", -1).alias("lines"))
-    one = named.select("doc_id", "d1", "d2", F.posexplode("lines").alias("line_no", "line"))
-    long = one.filter(F.length("line") >= MIN_CHARS)
-    return long.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, d1, d2, text): rows with a text; d1, d2 name it."""
+    return docs.select("doc_id", "text").filter("text is not null").select("doc_id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), "text")
+
+
+NAME = ("doc_id", "d1", "d2")
+
+
+def repeated_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, d1, d2, copies): ids and texts that stand in several rows, written."""
+    return materialise(named(docs).groupBy(*NAME).agg(F.count("*").alias("copies")).filter("copies > 1"), "line-repeated")
+
+
+def same_row(left: list[Column], right: list[Column]) -> Column:
+    return left[0].eqNullSafe(right[0]) & (left[1] == right[1]) & (left[2] == right[2])
+
+
+def lines_of(docs: DataFrame, repeated: DataFrame, any_repeated: bool) -> DataFrame:
+    """(doc_id, d1, d2, copies, line_no, line, h1, h2): a row a line with a word; repeated rows stand once."""
+    rows = named(docs)
+    if any_repeated:
+        of = repeated.select(*[F.col(c).alias(f"_{c}") for c in NAME], "copies")
+        rows = rows.join(of, same_row([rows[c] for c in NAME], [F.col(f"_{c}") for c in NAME]), "left")
+        twice = rows.filter("copies is not null").groupBy(*NAME).agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+        rows = rows.filter("copies is null").select(*NAME, "text", F.lit(1).cast("bigint").alias("copies")).unionByName(twice)
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    one = rows.select(*NAME, "copies", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return one.filter(F.col("line").rlike(WORD)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def place() -> Column:
@@ -130,8 +176,8 @@ def place() -> Column:
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
-    """(h1, h2, line, first, n): each distinct line with its first place; equal lines are combined before the shuffle."""
-    return lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(place()).alias("first"), F.count("*").alias("n"))
+    """(h1, h2, line, first): each distinct line with its first place; equal lines are combined before the shuffle."""
+    return lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(place()).alias("first"))
 
 
 def same_beginning(a: Column, b: Column, room: Column, ends: bool = False, limit: int = 20) -> Column:
@@ -159,18 +205,20 @@ def line_links(classes: DataFrame, edits: int) -> DataFrame:
     a few characters first, which most false candidates don't survive, then all of it.
     """
     wide = classes.select("h1", "h2", F.encode("line", "UTF-32").alias("u"), char_counts(F.col("line")).alias("counts")).withColumn("size", (F.octet_length("u") / 4).cast("int"))
-    keyed = wide.select("h1", "counts", "size", F.explode(line_keys(F.col("u"), F.col("size"), edits)).alias("k"))
+    keyed = wide.filter(F.col("size") >= EDIT_CHARS).select("h1", "counts", "size", F.explode(all_keys(F.col("u"), F.col("size"), edits)).alias("k"))
     # dealt out once: both sides of the join read the same shuffle, as they need the same columns and no
-    # condition belongs to one side alone; the lowest bit of ``mark`` tells a line's own segments
-    keyed = keyed.select("h1", "counts", (F.col("size") * 2 + F.col("k.own").cast("int")).alias("mark"), "k.key", "k.first").repartition("key")
+    # condition belongs to one side alone; ``mark`` holds a line's length, the key's edits, and whether it is its own
+    keyed = keyed.select("h1", "counts", (F.col("size") * 16 + F.col("k.edits") * 2 + F.col("k.own").cast("int")).alias("mark"), "k.key", "k.first").repartition("key")
     left = keyed.select(F.col("key").alias("key_a"), *[F.col(c).alias(f"{c}_a") for c in ("h1", "counts", "mark", "first")])
     right = keyed.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in ("h1", "counts", "mark", "first")])
-    longer = F.shiftright("mark_b", 1) - F.shiftright("mark_a", 1)
+    longer = F.shiftright("mark_b", 4) - F.shiftright("mark_a", 4)
+    reach = F.shiftright("mark_a", 1).bitwiseAND(F.lit(7))
     # lines with the same first segment meet there alone
     once = (F.col("key_a") == F.col("first_a")) | (F.col("first_a") != F.col("first_b"))
-    near = (F.col("h1_a") != F.col("h1_b")) & once & F.when(F.col("mark_a") % 2 == 1, longer).otherwise(-1).between(0, edits) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
+    near = (F.col("h1_a") != F.col("h1_b")) & once & (F.col("mark_a") % 2 == 1) & (longer >= 0) & (longer <= reach) & (allowed(F.shiftright("mark_a", 4), edits) == reach) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * reach)
     found = left.join(right, (F.col("key_a") == F.col("key_b")) & near).select(F.least("h1_a", "h1_b").alias("a"), F.greatest("h1_a", "h1_b").alias("b")).distinct()
     candidates = materialise(found, "line-candidates")
+    release(candidates)
     ids = materialise(candidates.select(F.col("a").alias("h1")).union(candidates.select("b")).distinct(), "line-ids")
     few = ids.count() <= BROADCAST_IDS
     some = classes.join(F.broadcast(ids) if few else ids, "h1", "left_semi").select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
@@ -180,63 +228,81 @@ def line_links(classes: DataFrame, edits: int) -> DataFrame:
     met = candidates.join(left, "a").join(right, "b").withColumn("room", (F.least(F.octet_length("ua"), F.octet_length("ub")) / 4).cast("int"))
     met = met.withColumn("head", same_beginning(F.col("ua"), F.col("ub"), F.col("room")))
     # each step is written, as a filter pushed below these columns would compute them anew at every step of its own
-    met = materialise(met.withColumn("tail", same_beginning(F.col("ua"), F.col("ub"), F.col("room") - F.col("head"), ends=True)), "line-ends")
-    tails = materialise(met.select("ka", "kb", *[F.expr(f"substring({u}, 4 * head + 1, octet_length({u}) - 4 * (head + tail))").alias(u) for u in ("ua", "ub")]), "line-middles")
+    ends = materialise(met.withColumn("tail", same_beginning(F.col("ua"), F.col("ub"), F.col("room") - F.col("head"), ends=True)), "line-ends")
+    for done in (candidates, ids, some):
+        remove(done)
+    middles = materialise(ends.select("ka", "kb", allowed(F.col("room"), edits).alias("reach"), *[F.expr(f"substring({u}, 4 * head + 1, octet_length({u}) - 4 * (head + tail))").alias(u) for u in ("ua", "ub")]), "line-middles")
+    remove(ends)
     glance = F.substring(F.col("ub"), F.lit(1), F.lit(4 * GLANCE))
-    tails = tails.filter(within_edits(F.col("ua"), glance, edits, beginnings=True))
-    pairs = tails.filter(within_edits(F.col("ua"), F.col("ub"), edits)).select("ka", "kb")
+    close = F.lit(False)
+    for e in range(1, edits + 1):
+        close = close | ((F.col("reach") == e) & within_edits(F.col("ua"), F.col("ub"), e))
+    pairs = middles.filter(within_edits(F.col("ua"), glance, edits, beginnings=True)).filter(close).select("ka", "kb")
     out = materialise(pairs, "line-pairs")
-    for done in (candidates, ids, some, met, tails):
-        remove(done)
-    return out.unionAll(out.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))).distinct()
+    remove(middles)
+    release(out)
+    return out
 
 
-def judged_lines(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """Lines without their texts, and classes without theirs but with links counted, and whether an earlier class is near."""
-    lines = lines_of(docs)
+def judged_lines(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Lines without their texts, classes without theirs but with links counted and whether an earlier class is near,
+    the repeated rows, and whether there are any."""
+    repeated = repeated_rows(docs)
+    any_repeated = bool(repeated.head(1))
+    lines = lines_of(docs, repeated, any_repeated)
     classes = materialise(line_classes(lines), "line-classes")
-    links = materialise(line_links(classes, edits), "line-links")
+    release(classes)
+    pairs = line_links(classes, edits)
+    links = pairs.unionAll(pairs.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))).distinct()
     firsts = classes.select(F.struct("h1", "h2").alias("k"), "first")
     near = links.join(firsts.select(F.col("k").alias("kb"), F.col("first").alias("other")), "kb").groupBy("ka").agg(F.count("*").alias("n_links"), F.min("other").alias("nearest"))
     judged = firsts.join(near, firsts["k"] == near["ka"], "left").select("k.h1", "k.h2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("nearest") < F.col("first"), F.lit(False)).alias("late"))
     judged = materialise(judged, "line-judged")
     remove(classes)
-    remove(links)
-    return lines.drop("line"), judged
+    remove(pairs)
+    release(judged)
+    return lines.drop("line"), judged, repeated, any_repeated
 
 
 def line_verdicts(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
-    """A row a line of MIN_CHARS or more: doc_id, line_no (from 0), class_doc_id, class_line_no (where its class
-    begins), n_links (other classes within ``edits``), kept.
+    """A row a line that has a word: doc_id, line_no (from 0), class_doc_id, class_line_no (where its class
+    begins), n_links (other classes within reach), kept.
 
-    Null and empty texts have no such line. A null doc_id sorts before others. Repeated rows
-    with one id and one text are alike: their lines are kept or dropped together. An
-    empty table gives an empty result; other columns are not read. Lines are compared whole.
+    Null and empty texts have no such line. A null doc_id sorts before others. Of rows with
+    one id and one text (repeated rows) one is judged as any row, and the lines of the others
+    are dropped. An empty table gives an empty result; other columns are not read. Lines are
+    compared whole.
     """
-    lines, judged = judged_lines(docs, edits)
-    own = F.struct("doc_id", "d1", "d2", "line_no")
-    rows = lines.join(judged, ["h1", "h2"])
-    kept = (own == F.col("first")) & ~F.col("late")
-    kept = F.coalesce(kept, own.eqNullSafe(F.col("first")) & ~F.col("late"))
-    return rows.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", kept.alias("kept"))
+    lines, judged, _, any_repeated = judged_lines(docs, edits)
+    kept = place().eqNullSafe(F.col("first")) & ~F.col("late")
+    rows = lines.join(judged, ["h1", "h2"]).withColumn("kept", kept)
+    if any_repeated:
+        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("kept", F.col("kept") & (F.col("_copy") == 1))
+    return rows.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", "kept")
 
 
 def line_filter(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """``docs`` with the dropped lines taken out of their texts, n_chars set anew where there is one.
 
-    A document that loses every line is left out; one that had no text stays as it is.
+    A document that loses every line with a word is left out, so that of repeated rows one
+    stays; one that had no word stays as it is.
     """
     names = docs.columns
     at = {c: f"_c{i}" for i, c in enumerate(names)}
-    lines, judged = judged_lines(docs, edits)
-    own = F.struct("doc_id", "d1", "d2", "line_no")
-    rows = lines.join(judged, ["h1", "h2"]).filter(~(own.eqNullSafe(F.col("first")) & ~F.col("late")))
-    dropped = rows.groupBy("doc_id", "d1", "d2").agg(F.collect_set("line_no").alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "_gone")
+    lines, judged, repeated, any_repeated = judged_lines(docs, edits)
+    rows = lines.join(judged, ["h1", "h2"]).filter(~(place().eqNullSafe(F.col("first")) & ~F.col("late")))
+    dropped = rows.groupBy(*NAME).agg(F.collect_set("line_no").alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "_gone")
     text = F.col(at["text"])
     whole = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names]).withColumns({"_e1": F.xxhash64(text), "_e2": F.xxhash64(F.lit(1), text)})
-    joined = whole.join(dropped, F.col(at["doc_id"]).eqNullSafe(F.col("_d")) & (F.col("_e1") == F.col("_d1")) & (F.col("_e2") == F.col("_d2")), "left")
+    row = [F.col(at["doc_id"]), F.col("_e1"), F.col("_e2")]
+    if any_repeated:
+        of = repeated.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(NAME)])
+        marked = whole.join(of.withColumn("_twice", F.lit(True)), same_row(row, [F.col(f"_r{i}") for i in range(3)]) & text.rlike(WORD), "left").drop("_r0", "_r1", "_r2")
+        alone = marked.filter("_twice is null")
+        whole = alone.unionByName(marked.filter("_twice").dropDuplicates([at["doc_id"], "_e1", "_e2"])).drop("_twice")
+    joined = whole.join(dropped, same_row(row, [F.col("_d"), F.col("_d1"), F.col("_d2")]), "left")
     left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     new = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("_new", new).filter(F.col("_gone").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
+    out = joined.withColumn("_new", new).filter(F.col("_gone").isNull() | F.col("_new").rlike(WORD))
     cols = {"text": F.col("_new")} | ({"n_chars": F.when(F.col("_gone").isNull(), F.col(at["n_chars"])).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return out.select(*[cols.get(c, F.col(at[c])).alias(c) for c in names])

@@ -9,9 +9,9 @@ from __future__ import annotations
 WORDS = r"[^\x20\x09-\x0D]+"
 
 LINE_DEDUP = """
-WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-c AS (SELECT line, min((doc_id, line_no)) AS f, len(line) AS n FROM l WHERE len(line) >= 32 GROUP BY line),
-p AS (SELECT a.line AS a, b.line AS b, b.f AS bf FROM c a JOIN c b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line WHERE levenshtein(a.line, b.line) <= 2),
+WITH l AS (SELECT * FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+c AS (SELECT line, min((doc_id, line_no)) AS f, len(line) AS n FROM l GROUP BY line),
+p AS (SELECT a.line AS a, b.line AS b, b.f AS bf FROM c a JOIN c b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND least(a.n, b.n) >= 16 WHERE levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 16)),
 k AS (SELECT a, count(*) AS n_links, min(bf) AS nearest FROM p GROUP BY a)
 SELECT l.doc_id, l.line_no::INTEGER AS line_no, c.f[1] AS class_doc_id, c.f[2]::INTEGER AS class_line_no, coalesce(n_links, 0) AS n_links,
  ((l.doc_id, l.line_no) = c.f AND coalesce(nearest > c.f, true)) AS kept

@@ -175,7 +175,7 @@ def test_line_links_against_brute_force(spark):
 
     rng, lines = np.random.default_rng(5), []
     for _ in range(60):
-        base = "".join(rng.choice(list("abcdefgh éß "), rng.integers(33, 130)))
+        base = "".join(rng.choice(list("abcdefgh éß "), rng.integers(12, 40) if len(lines) % 2 else rng.integers(33, 130)))
         lines.append(base)
         for _ in range(3):
             new = list(base)
@@ -193,18 +193,38 @@ def test_line_links_against_brute_force(spark):
     got = {r.doc_id: r for r in line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     first = {}
     for i, x in rows:
-        if len(x) >= 32:
-            first.setdefault(x, i)
+        first.setdefault(x, i)
     for i, x in rows:
-        if len(x) < 32:
-            assert i not in got
-            continue
-        near = [y for y in first if y != x and abs(len(y) - len(x)) <= 2 and distance(x, y) <= 2]
+        near = [y for y in first if y != x and abs(len(y) - len(x)) <= 2 and distance(x, y) <= min(2, min(len(x), len(y)) // 16)]
         assert got[i].n_links == len(near), (x, near)
         assert got[i].class_doc_id == first[x]
         assert got[i].kept == (first[x] == i and not any(first[y] < i for y in near))
 
 
+def test_line_repeated_rows(spark):
+    from overlapse.llm.line_dedup import line_filter, line_verdicts
+
+    rows = [(1, "Yes."), (1, "Yes."), (1, "Yes."), (2, "Yes.\nother"), (None, "null id"), (None, "null id"), (4, " "), (4, " "), (5, None), (5, None), (7, "a"), (7, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.line_no, r.kept) for r in line_verdicts(frame).collect())
+    assert got == {(1, 0, True): 1, (1, 0, False): 2, (2, 0, False): 1, (2, 1, True): 1, (None, 0, True): 1, (None, 0, False): 1, (7, 0, True): 2}
+    left = Counter((r.doc_id, r.text) for r in line_filter(frame).collect())
+    assert left == {(1, "Yes."): 1, (2, "other"): 1, (None, "null id"): 1, (4, " "): 2, (5, None): 2, (7, "a"): 1, (7, "b"): 1}
+
+
+def test_line_scratch_is_removed(spark):
+    import glob
+
+    from overlapse.llm.line_dedup import line_filter
+    from overlapse.workspace import base_dir
+
+    at = base_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{at}/overlapse/line-*"))
+    line_filter(docs(spark)).count()
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{at}/overlapse/line-*")) - before}
+    assert left == {"line-judged", "line-repeated"}  # read by the result itself
+
+
 def test_line_filter(spark):
     from overlapse.llm.line_dedup import line_filter, line_verdicts
 
@@ -633,16 +653,15 @@ def test_pipeline_against_brute_force(spark):
     first = {}
     for i in sorted(kept):
         for k, line in enumerate(rows[i].split("\n")):
-            if len(line) >= 32:
+            if WORD.search(line):
                 first.setdefault(line, (i, k))
-    by_length = defaultdict(list)
-    for x in first:
-        by_length[len(x)].append(x)
-    late = {x for x, at in first.items() if any(first[y] < at and distance(x, y) <= 2 for n in range(len(x) - 2, len(x) + 3) for y in by_length[n] if y != x and (y[:9] == x[:9] or y[-9:] == x[-9:]))}
+    con.register("classes", pa.table({"line": list(first), "at": list(range(len(first)))}))
+    near = con.execute("SELECT a.line, b.line FROM classes a JOIN classes b ON len(b.line) BETWEEN len(a.line) - 2 AND len(a.line) + 2 AND least(len(a.line), len(b.line)) >= 16 AND a.at <> b.at WHERE levenshtein(a.line, b.line) <= least(2, least(len(a.line), len(b.line)) // 16)").fetchall()
+    late = {x for x, y in near if first[y] < first[x]}
     want = {}
     for i in kept:
         lines = rows[i].split("\n")
-        left = [x for k, x in enumerate(lines) if len(x) < 32 or (first[x] == (i, k) and x not in late)]
+        left = [x for k, x in enumerate(lines) if not WORD.search(x) or (first[x] == (i, k) and x not in late)]
         if WORD.search("\n".join(left)):
             want[i] = "\n".join(left)
     two = stages[1](spark, one, SF).cache()
