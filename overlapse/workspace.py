@@ -6,6 +6,7 @@ reading it back, so that the loss of an executor costs one stage at most.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured (tests)."""
+    """The cluster's shared folder; a local one only on one machine where none is configured (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), f"overlapse-{os.getuid()}")
 
 
@@ -42,3 +45,9 @@ def remove(df: DataFrame) -> None:
     if path:
         path = spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of plans that are gone; to be called once a step's result is written."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
