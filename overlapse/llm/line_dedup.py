@@ -23,6 +23,8 @@ one id and one text (repeated rows) the first stands before the others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,15 +73,15 @@ def allowed(shorter: Column, edits: int) -> Column:
     return F.least(F.floor(shorter / EDIT_CHARS).cast("int"), F.lit(edits))
 
 
-def all_keys(line: Column, length: Column, edits: int) -> Column:
-    """The keys of ``line_keys`` for each number of edits that pairs with this line may have."""
+def all_keys(wide: DataFrame, edits: int) -> DataFrame:
+    """A row a key of ``line_keys`` for each number of edits that pairs with a line may have."""
     out = []
     for e in range(1, edits + 1):
         # the longer line of a pair is up to e characters longer than the shorter one
-        fits = (length >= e * EDIT_CHARS) & (F.lit(True) if e == edits else length < (e + 1) * EDIT_CHARS + e)
-        own = F.transform(line_keys(line, length, e), lambda k: F.struct(k["key"].alias("key"), k["own"].alias("own"), k["first"].alias("first"), F.lit(e).alias("edits")))  # noqa: B023
-        out.append(F.when(fits, own))
-    return F.flatten(F.array_compact(F.array(*out)))
+        size = F.col("size")
+        own = wide.filter((size >= e * EDIT_CHARS) & (F.lit(True) if e == edits else size < (e + 1) * EDIT_CHARS + e))
+        out.append(own.select("h1", "counts", "size", F.explode(line_keys(F.col("u"), size, e)).alias("k"), F.lit(e).alias("edits")))
+    return reduce(DataFrame.unionAll, out)
 
 
 def char_counts(line: Column) -> Column:
@@ -204,18 +206,20 @@ def line_links(classes: DataFrame, edits: int) -> DataFrame:
     A common beginning and end need no edits, so only what lies between them is compared:
     a few characters first, which most false candidates don't survive, then all of it.
     """
-    wide = classes.select("h1", "h2", F.encode("line", "UTF-32").alias("u"), char_counts(F.col("line")).alias("counts")).withColumn("size", (F.octet_length("u") / 4).cast("int"))
-    keyed = wide.filter(F.col("size") >= EDIT_CHARS).select("h1", "counts", "size", F.explode(all_keys(F.col("u"), F.col("size"), edits)).alias("k"))
+    wide = classes.select("h1", "h2", F.encode("line", "UTF-32").alias("u"), char_counts(F.col("line")).alias("counts"), F.length("line").alias("size"))
+    keyed = all_keys(wide, edits)
     # dealt out once: both sides of the join read the same shuffle, as they need the same columns and no
     # condition belongs to one side alone; ``mark`` holds a line's length, the key's edits, and whether it is its own
-    keyed = keyed.select("h1", "counts", (F.col("size") * 16 + F.col("k.edits") * 2 + F.col("k.own").cast("int")).alias("mark"), "k.key", "k.first").repartition("key")
+    keyed = keyed.select("h1", "counts", (F.col("size") * 16 + F.col("edits") * 2 + F.col("k.own").cast("int")).alias("mark"), "k.key", "k.first").repartition("key")
     left = keyed.select(F.col("key").alias("key_a"), *[F.col(c).alias(f"{c}_a") for c in ("h1", "counts", "mark", "first")])
     right = keyed.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in ("h1", "counts", "mark", "first")])
     longer = F.shiftright("mark_b", 4) - F.shiftright("mark_a", 4)
     reach = F.shiftright("mark_a", 1).bitwiseAND(F.lit(7))
     # lines with the same first segment meet there alone
     once = (F.col("key_a") == F.col("first_a")) | (F.col("first_a") != F.col("first_b"))
-    near = (F.col("h1_a") != F.col("h1_b")) & once & (F.col("mark_a") % 2 == 1) & (longer >= 0) & (longer <= reach) & (allowed(F.shiftright("mark_a", 4), edits) == reach) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * reach)
+    within = longer.between(0, reach) & (counts_apart(F.col("counts_a"), F.col("counts_b")) <= 2 * reach)
+    mine = (F.col("mark_a") % 2 == 1) & (allowed(F.shiftright("mark_a", 4), edits) == reach)
+    near = (F.col("h1_a") != F.col("h1_b")) & once & F.when(mine, within).otherwise(F.lit(False))
     found = left.join(right, (F.col("key_a") == F.col("key_b")) & near).select(F.least("h1_a", "h1_b").alias("a"), F.greatest("h1_a", "h1_b").alias("b")).distinct()
     candidates = materialise(found, "line-candidates")
     release(candidates)
