@@ -16,13 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overlapse.llm.arrowtext import byte_steps, trimmed, words
 from overlapse.operators.graph import connected_components
-from overlapse.workspace import materialise, remove
+from overlapse.workspace import materialise, release, remove
 
 SEED = 42
 #: Shingles whose bits are held at once.
@@ -114,18 +113,23 @@ def segments(distance: int) -> list[tuple[int, int, int]]:
     return [(cuts[i], cuts[i + 1] - cuts[i], radii[i]) for i in range(count)]
 
 
-def links(distinct: DataFrame, distance: int) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints (column fp) within ``distance`` bits."""
+def segment_keys(fp: Column, distance: int) -> tuple[Column, Column]:
+    """(index, probe): arrays of a fingerprint's segments, and of all in their Hamming balls."""
     index, probe = [], []
     for k, (at, width, radius) in enumerate(segments(distance)):
-        part = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-        tagged = part.bitwiseOR(F.lit(k << 40))
+        tagged = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(k << 40))
         index.append(tagged)
         probe.append(tagged)
         if radius:
             probe += [tagged.bitwiseXOR(F.lit(1 << i)) for i in range(width)]
-    left = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*probe)).alias("key"))
-    right = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*index)).alias("key"))
+    return F.array(*index), F.array(*probe)
+
+
+def links(distinct: DataFrame, distance: int) -> DataFrame:
+    """(a, b), a < b: all pairs of distinct fingerprints (column fp) within ``distance`` bits."""
+    index, probe = segment_keys(F.col("fp"), distance)
+    left = distinct.select(F.col("fp").alias("a"), F.explode(probe).alias("key"))
+    right = distinct.select(F.col("fp").alias("b"), F.explode(index).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     return left.join(right, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
@@ -142,7 +146,8 @@ def components(table: DataFrame, distance: int) -> DataFrame:
     grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     out = materialise(grouped.join(least, "component").select("fp", "component_id"), "simhash-components")
-    remove(edges)
+    for done in (distinct, edges, found):
+        remove(done)
     return out
 
 
@@ -161,21 +166,16 @@ def simhash_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFr
 
 #: Least Jaccard similarity of two texts' shingle sets that makes them near copies.
 SIMILARITY = 0.8
-#: Bits in which near copies' fingerprints may differ before their shingles are compared: at a similarity of
-#: 0.8, 9 on average and 14 at most of the pairs measured.
-FAR = 18
-#: Segments of a fingerprint that near copies are looked up by, and the least certain bits of each that a probe flips.
-PROBED, FLIPS = 4, 4
+#: Bits of the fingerprint within which segments' Hamming balls are complete, and bits in which texts that have met may
+#: differ before their shingles are compared: at a similarity of 0.8, 9 on average and 14 at most of the pairs measured.
+NEAR, FAR = 4, 18
 #: One text in so many is drawn to find common shingles; those met COMMON times there stand last in every prefix, the
-#: most common at the very end, COMMON_MOST of them at most.
+#: most common at the very end, COMMON_MOST of them at most. This settles an order only, and any order is exact.
 DRAWN, COMMON, COMMON_MOST = 16, 3, 100_000
-#: Nodes' names that are broadcast to pick the texts of candidates; beyond it they are joined by shuffle.
-BROADCAST_NODES = 200_000
-
-
-def probed_segments() -> list[tuple[int, int]]:
-    cuts = [64 * i // PROBED for i in range(PROBED + 1)]
-    return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(PROBED)]
+#: Nodes' names and keys that are broadcast; beyond it they are joined by shuffle.
+BROADCAST_NODES, BROADCAST_KEYS = 200_000, 400_000
+#: While pairs to compare would be more than so many a row, texts are compared with one of each key's texts only.
+PAIRS_A_ROW = 4
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,34 +216,23 @@ def text_key(text: str = "text") -> Column:
 
 
 def with_signature(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, t, k1, k2, fp, n, weak, prefix): its text's key, a row's name by its words, its fingerprint, its distinct
-    shingles' number, per segment its least certain bits, and the first of its shingles.
-
-    A bit is the less certain the closer its sum is to half the shingles: those are the
-    bits that a few changed shingles turn over.
-    """
+    """(doc_id, t, k1, k2, fp, n, prefix): its text's key, a row's name by its words, its fingerprint, its distinct
+    shingles' number, and the first of its shingles."""
     common = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in byte_steps(batch.column(2), 2 << 20):
                 hashes, first, norm = shingle_hashes(batch.column(2).slice(start, stop - start), width)
-                margin = 2 * bit_sums(hashes, first) - np.diff(first)[:, None]
-                weak = []
-                for at, size in probed_segments():
-                    # column c of the sums is bit 63 - c
-                    order = np.argsort(np.abs(margin[:, 64 - at - size : 64 - at]), axis=1, kind="stable")[:, :FLIPS]
-                    weak.append(np.uint64(1) << (at + size - 1 - order).astype(np.uint64))
-                weak = np.concatenate(weak, axis=1).view(np.int64)
                 names = names_of(norm)
                 sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 least = [prefix(x, common).view(np.int64) for x in sets]
                 heads = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, least)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *least])))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, weak.size + 1, weak.shape[1]), pa.int32()), pa.array(weak.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(pack_bits(margin > 0)), pa.array([len(x) for x in sets], pa.int64()), lists, heads], ["doc_id", "t", "k1", "k2", "fp", "n", "weak", "prefix"])
+                fp = pack_bits(2 * bit_sums(hashes, first) > np.diff(first)[:, None])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), heads], ["doc_id", "t", "k1", "k2", "fp", "n", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("t"), "text").mapInArrow(trimmed(run), f"doc_id {kind}, t long, k1 long, k2 long, fp long, n long, weak array<long>, prefix array<long>")
+    return docs.select("doc_id", text_key().alias("t"), "text").mapInArrow(trimmed(run), f"doc_id {kind}, t long, k1 long, k2 long, fp long, n long, prefix array<long>")
 
 
 def names_of(norm: list[bytes]) -> np.ndarray:
@@ -267,32 +256,8 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("text").mapInArrow(trimmed(run), "k1 long, set array<long>")
 
 
-def lookup_keys() -> tuple[Column, Column]:
-    """(own, probes): arrays of keys of (fp, n, weak), a segment and a step of shingles' numbers in each.
-
-    Sets of SIMILARITY differ in size by half a step at most, so a probe looks into its own
-    step and the nearer of the steps beside it.
-    """
-    at = F.log(F.greatest("n", F.lit(1)).cast("double")) / (-2 * math.log(SIMILARITY)) + 1
-    step = F.floor(at)
-    beside = step + F.when(at - step < 0.5, -1).otherwise(1)
-
-    def key(fp: Column, k: int, first: int, size: int, step: Column) -> Column:
-        return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << size) - 1)) + F.lit(k << 40) + F.shiftleft(step, 44)
-
-    def keys(flipped: Column, k: int, first: int, size: int, step: Column) -> Column:
-        return F.transform(flipped, lambda x: key(x, k, first, size, step))
-
-    own, probes = [], []
-    for k, (first, size) in enumerate(probed_segments()):
-        own.append(key(F.col("fp"), k, first, size, step))
-        flipped = F.aggregate(F.slice("weak", k * FLIPS + 1, FLIPS), F.array("fp"), lambda found, bit: F.concat(found, F.transform(found, lambda x: x.bitwiseXOR(bit))))
-        probes += [keys(flipped, k, first, size, where) for where in (step, beside)]
-    return F.array(*own), F.flatten(F.array(*probes))
-
-
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> tuple[DataFrame, bool]:
-    """The pairs (a, b) of names whose shingle sets have SIMILARITY or more, and whether their names are few."""
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of names whose shingle sets have SIMILARITY or more, written; ``pairs`` is removed."""
     ids = materialise(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "simhash-ids")
     few = ids.count() <= BROADCAST_NODES
     # texts of nodes that are in a pair, found by their first row's id and text
@@ -301,27 +266,87 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> tu
     sets = materialise(shingle_sets(texts, width).dropDuplicates(["k1"]), "simhash-sets")
     both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("k1").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    edges = materialise(both.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "simhash-links")
-    remove(ids)
-    remove(sets)
-    return edges, few
+    edges = materialise(both.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "simhash-links")
+    for done in (ids, sets, pairs):
+        remove(done)
+    release(edges)
+    return edges
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of (x, y), written."""
+    return materialise(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-pairs")
+
+
+def table_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs that meet in the tables of segments: each text with the first of the texts that a segment, or one in its
+    small Hamming ball, leads to. So a group of n copies makes n pairs a segment, not their square."""
+    index, probe = segment_keys(F.col("fp"), NEAR)
+    firsts = nodes.select("k1", "fp", "n", F.explode(index).alias("key")).groupBy("key").agg(F.min(F.struct("k1", "fp", "n")).alias("to"))
+    probes = nodes.select("k1", "fp", "n", F.explode(probe).alias("key"))
+    size = F.least("n", "to.n") >= SIMILARITY * F.greatest("n", "to.n")
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("to.fp")))
+    met = probes.join(firsts, "key").filter((F.col("k1") != F.col("to.k1")) & size & (far <= FAR))
+    return ordered_pairs(met.select(F.col("k1").alias("x"), F.col("to.k1").alias("y")))
+
+
+def shared_heads(nodes: DataFrame) -> DataFrame:
+    """(k1, n, pos, key): the shingles of the prefixes that two texts' prefixes share, written."""
+    keys = nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    keys = materialise(keys, "simhash-keys")
+    release(keys)
+    few = keys.count() <= BROADCAST_KEYS
+    rows = nodes.select("k1", "n", F.posexplode("prefix").alias("pos", "key"))
+    out = materialise(rows.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("k1", "n", "pos", "key"), "simhash-heads")
+    remove(keys)
+    release(out)
+    return out
 
 
-def prefix_pairs(heads: DataFrame) -> DataFrame:
-    """(a, b): pairs of (k1, component, n, prefix) that may have SIMILARITY, all of those between components.
+def prefix_pairs(heads: DataFrame, whole: DataFrame, few: bool, all_pairs: bool = False) -> tuple[DataFrame, bool]:
+    """(a, b): pairs of different components that may have SIMILARITY, and whether these are all of them.
 
-    The first shingle that two such texts share stands in both prefixes, and what comes
-    after it must suffice. Keys of one component only are dropped before pairs are made.
+    The first shingle that two such texts share stands in both prefixes, within the first
+    ninth of the smaller text's shingles, and what comes after it must suffice. Keys of one
+    component only are dropped. While many texts share keys, each is compared with the
+    first of a key's texts alone, so that large groups grow together before all pairs are made.
     """
-    keyed = heads.select("k1", "component", "n", F.posexplode("prefix").alias("pos", "key"))
-    own = W.partitionBy("key")
-    met = keyed.withColumns({"_low": F.min("component").over(own), "_high": F.max("component").over(own)}).filter("_low < _high")
-    met = materialise(met.select("k1", "component", "n", "pos", "key").distinct(), "simhash-prefixes")
-    left, right = (met.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("k1", "component", "n", "pos")]) for x in "ab")
-    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    near = (F.col("component_a") < F.col("component_b")) & (most + 1e-6 >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")))
-    out = materialise(left.join(right, "key").filter(near).select(F.least("k1_a", "k1_b").alias("a"), F.greatest("k1_a", "k1_b").alias("b")).distinct(), "simhash-pairs")
-    remove(met)
+    named = heads.join(F.broadcast(whole) if few else whole, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    spread = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"), F.min(F.struct("k1", "n", "pos", "component")).alias("to")).filter("low < high")
+    spread = materialise(spread.select("key", "c", "to"), "simhash-spread")
+    release(spread)
+    rows, pairs = spread.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c") / 2)).head()
+    share = SIMILARITY / (1 + SIMILARITY)
+    if rows and pairs > PAIRS_A_ROW * rows and not all_pairs:
+        met = named.join(spread, "key")
+        enough = F.least(F.col("n") - F.col("pos"), F.col("to.n") - F.col("to.pos")) + 1e-6 >= share * (F.col("n") + F.col("to.n"))
+        met = met.filter((F.col("component") != F.col("to.component")) & enough)
+        found, complete = ordered_pairs(met.select(F.col("k1").alias("x"), F.col("to.k1").alias("y"))), False
+    else:
+        met = named.join(spread.select("key"), "key", "left_semi")
+        left, right = (met.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("k1", "component", "n", "pos")]) for x in "ab")
+        most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("k1_a") < F.col("k1_b")))
+        enough = smaller & (F.col("component_a") != F.col("component_b")) & (most + 1e-6 >= share * (F.col("n_a") + F.col("n_b")))
+        # of two texts the smaller one's shared shingle stands within the first ninth
+        left = left.filter(F.col("pos_a") <= (1 - SIMILARITY) / (1 + SIMILARITY) * F.col("n_a") + 1e-6)
+        found = ordered_pairs(left.join(right, "key").filter(enough).select(F.col("k1_a").alias("x"), F.col("k1_b").alias("y")))
+        complete = True
+    remove(spread)
+    release(found)
+    return found, complete
+
+
+def merged(whole: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(k1, component) of all nodes with a link, after ``edges`` have joined components; written, in place of ``whole``."""
+    ends = edges.select("a", "b")
+    if whole is not None:  # each node's link to its component stands for the links so far
+        ends = ends.unionByName(whole.select(F.col("k1").alias("a"), F.col("component").alias("b")))
+    found = connected_components(ends)
+    out = found.select(F.col("node").alias("k1"), "component")
+    out.scratch_path = found.scratch_path
+    if whole is not None:
+        remove(whole)
     return out
 
 
@@ -331,44 +356,43 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     The first is the one with the least doc_id, then the least key of its text; rows without
     a doc_id come last.
 
-    Rows with the same words are one node. Nodes meet where a segment of one's fingerprint,
-    with any of its least certain bits flipped, equals the other's, up to FAR bits apart: that
-    brings most near copies together cheaply. Whatever these tables miss is found by an exact
-    rule between the components so far (``prefix_pairs``). All pairs are compared by their
-    shingles, so that every link is one of SIMILARITY or more.
+    Rows with the same words are one node. Nodes meet in the tables of their fingerprints'
+    segments (``table_pairs``), which brings most near copies together cheaply. Whatever these
+    tables miss is found by an exact rule between the components so far (``prefix_pairs``).
+    All pairs are compared by their shingles, so that every link is one of SIMILARITY or more.
     """
     table = materialise(with_signature(docs, width), "simhash-signatures")
-    nodes = materialise(table.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("weak").alias("weak")), "simhash-nodes")
-    own, probes = lookup_keys()
-    prints = nodes.dropDuplicates(["fp", "n"])
-    left = prints.select(F.col("fp").alias("fa"), F.explode(probes).alias("key"))
-    right = prints.select(F.col("fp").alias("fb"), F.explode(own).alias("key"))
-    far = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    met = left.join(right, "key").filter((F.col("fa") != F.col("fb")) & (far <= FAR)).select("fa", "fb")
-    # equal fingerprints of different words: the first of them stands in for the others
-    same = nodes.groupBy("fp").agg(F.min("k1").alias("low"), F.count("*").alias("k")).filter("k > 1").select("fp", "low")
-    name = nodes.select("fp", F.col("k1"))
-    across = met.distinct().join(name.select(F.col("fp").alias("fa"), F.col("k1").alias("a")), "fa").join(name.select(F.col("fp").alias("fb"), F.col("k1").alias("b")), "fb")
-    twins = name.join(same, "fp").filter("k1 <> low").select(F.col("low").alias("a"), F.col("k1").alias("b"))
-    pairs = across.select("a", "b").unionByName(twins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs, "simhash-pairs")
-    edges, few = alike(pairs, nodes, docs, width)
-    found = materialise(connected_components(edges).select(F.col("node").alias("k1"), "component"), "simhash-found")
-    part = F.broadcast(found) if few else found
-    heads = table.join(part, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    more = prefix_pairs(heads)
-    late, few = alike(more, nodes, docs, width)
-    grouped = nodes.groupBy("k1").agg(F.min("least").alias("least")).join(found, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    grouped = materialise(grouped, "simhash-grouped")
-    of = grouped.select("k1", "component")
-    across = late.join(of.select(F.col("k1").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("k1").alias("b"), F.col("component").alias("cb")), "b")
-    joined = connected_components(across.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
-    whole = grouped.join(joined, "component", "left").withColumn("component", F.coalesce("_whole", "component")).drop("_whole")
-    least = whole.groupBy("component").agg(F.min("least").alias("of"))
-    firsts = whole.drop("least").join(least, "component").select("k1", F.col("of.doc_id").alias("component_id"), F.col("of.t").alias("component_t"))
-    out = materialise(table.select("doc_id", "t", "k1").join(firsts, "k1"), "simhash-groups")
-    for done in (table, nodes, pairs, edges, found, more, late, grouped):
+    nodes = table.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = materialise(nodes, "simhash-nodes")
+    rows = materialise(table.select("doc_id", "t", "k1"), "simhash-rows")
+    remove(table)
+    release(rows)
+    heads = shared_heads(nodes)
+    edges = alike(table_pairs(nodes), nodes, docs, width)
+    whole = merged(None, edges)
+    remove(edges)
+    done = False
+    while not done:
+        pairs, done = prefix_pairs(heads, whole, whole.count() <= BROADCAST_NODES)
+        edges = alike(pairs, nodes, docs, width)
+        grown = bool(edges.head(1))
+        if grown:
+            whole = merged(whole, edges)
+        remove(edges)
+        if not done and not grown:
+            pairs, done = prefix_pairs(heads, whole, whole.count() <= BROADCAST_NODES, all_pairs=True)
+            edges = alike(pairs, nodes, docs, width)
+            if edges.head(1):
+                whole = merged(whole, edges)
+            remove(edges)
+    remove(heads)
+    grouped = nodes.groupBy("k1").agg(F.min("least").alias("least")).join(whole, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("of"))
+    firsts = grouped.drop("least").join(least, "component").select("k1", F.col("of.doc_id").alias("component_id"), F.col("of.t").alias("component_t"))
+    out = materialise(rows.join(firsts, "k1"), "simhash-groups")
+    for done in (rows, nodes, whole):
         remove(done)
+    release(out)
     return out
 
 
@@ -383,8 +407,14 @@ def simhash_filter(docs: DataFrame, width: int = 5) -> DataFrame:
     at = {c: f"_c{i}" for i, c in enumerate(names)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names]).withColumn("_key", text_key(at["text"]))
     found = near_copies(docs, width)
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("component_t"))).groupBy("doc_id", "t").count()
-    keep = firsts.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
-    whole = renamed.join(keep, F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_t")), "left_semi")
-    one = whole.dropDuplicates([at["doc_id"], "_key"]) if firsts.filter("count > 1").limit(1).count() else whole
-    return one.select(*[F.col(at[c]).alias(c) for c in names])
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("component_t"))
+    # texts aren't shuffled for the few rows that go, or that are repeated
+    marked = found.groupBy("doc_id", "t").agg(F.count("*").alias("copies"), F.min(first).alias("first")).filter("not first or copies > 1")
+    marked = materialise(marked.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("first").alias("_first")), "simhash-marked")
+    few = marked.count() <= BROADCAST_NODES
+    remove(found)
+    whole = renamed.join(F.broadcast(marked) if few else marked, F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_t")), "left")
+    out = whole.filter("_first is null").select(*at.values())
+    if marked.filter("_first").head(1):
+        out = out.unionByName(whole.filter("_first").dropDuplicates([at["doc_id"], "_key"]).select(*at.values()))
+    return out.select(*[F.col(at[c]).alias(c) for c in names])

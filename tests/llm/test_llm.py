@@ -216,12 +216,12 @@ def test_line_scratch_is_removed(spark):
     import glob
 
     from overlapse.llm.line_dedup import line_filter
-    from overlapse.workspace import base_dir
+    from overlapse.workspace import scratch_dir
 
-    at = base_dir(spark).removeprefix("file://")
-    before = set(glob.glob(f"{at}/overlapse/line-*"))
+    at = scratch_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{at}/line-*"))
     line_filter(docs(spark)).count()
-    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{at}/overlapse/line-*")) - before}
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{at}/line-*")) - before}
     assert left == {"line-judged", "line-repeated"}  # read by the result itself
 
 
