@@ -28,8 +28,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): every node of an edge table (a, b) with the least node of its component.
 
     Alternating large-star and small-star steps; each round is written to the shared
-    folder. Null ends and loops are ignored apart from naming their node; direction
-    and repetition don't matter. An empty table gives an empty result.
+    folder, and so is the result (``remove`` deletes it). Null ends and loops are ignored apart
+    from naming their node; direction and repetition don't matter. An empty table gives an
+    empty result. Rounds grow with the logarithm of the size; more than ``max_rounds`` is an error.
     """
     clean = edges.select("a", "b")
     nodes = clean.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
@@ -40,16 +41,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
-    seen = mark(current)
+    seen, settled = mark(current), False
     for _ in range(max_rounds):
-        if not seen[0]:
+        if settled or not seen[0]:
             break
         step = materialise(_star(_star(current, True), False), "cc-edges")
         now = mark(step)
         remove(current)
-        current = step
-        if now == seen:
-            break
-        seen = now
+        current, seen, settled = step, now, now == seen
+    else:
+        if not settled:
+            raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
     # every edge now leads from a node to the least node of its component
-    return nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    out = materialise(found, "cc-found")
+    remove(nodes)
+    remove(current)
+    return out

@@ -25,7 +25,12 @@ def base_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{base_dir(spark)}/overlapse/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{base_dir(spark)}/overlapse/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -39,12 +44,21 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "scratch_path", None)
+    path = getattr(df, "scratch_path", None)
     if path:
-        path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this application, those too that results still read: to be called at its end."""
+    _delete(spark, scratch_dir(spark))
 
 
 def release(df: DataFrame) -> None:
