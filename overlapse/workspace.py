@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,11 @@ def clear(spark: SparkSession) -> None:
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of plans that are gone; to be called once a step's result is written."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are gone; to be called once a step's result is written.
+
+    It takes two rounds: what the first one finds unreachable still holds the shuffles until the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
