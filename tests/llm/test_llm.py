@@ -88,43 +88,92 @@ def test_html_odd(spark):
 # --- 2: language model ---------------------------------------------------------------------
 
 
-def test_katz_against_brute_force(spark):
-    from overlapse.llm.katz import Discounts, lm_scores
+def good_turing(tallies):
+    """Ratios r*/r from counts of counts n_1 .. n_20: Turing's up to 5 where it lies between 0.05 and 1, else from a log-log line."""
+    xs = [r for r in range(1, 21) if tallies.get(r)]
+    slope = -2.0
+    if len(xs) > 2:
+        lx, ly = [math.log(r) for r in xs], [math.log(tallies[r]) for r in xs]
+        mx, my = sum(lx) / len(xs), sum(ly) / len(xs)
+        slope = sum((x - mx) * (y - my) for x, y in zip(lx, ly)) / sum((x - mx) ** 2 for x in lx)
+    slope = min(slope, -1.1)
 
-    rows = docs(spark).toPandas()
-    got = lm_scores(docs(spark)).toPandas().set_index("doc_id")
+    def ratio(r):
+        turing = (r + 1) * tallies.get(r + 1, 0) / (r * tallies[r]) if r <= 5 else 0
+        return turing if 0.05 < turing < 1 else ((r + 1) / r) ** (slope + 1)
+
+    return ratio
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_against_brute_force(spark, order):
+    from overlapse.llm.katz import lm_scores
+
+    frame = docs(spark).filter("doc_id < 90")
+    rows = frame.toPandas()
+    got = lm_scores(frame, order=order).toPandas().set_index("doc_id")
     text = {i: [*WORD.findall(lower(t or "")), None] for i, t in zip(rows.doc_id, rows.text)}
     train = [i for i in text if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni, bi, hist = Counter(), Counter(), Counter()
-    for i in train:
-        before = ["<begin> ", *text[i][:-1]]
-        uni.update(text[i])
-        bi.update(zip(before, text[i]))
-        hist.update(before)
-    n, v = sum(uni.values()), len(uni)
-    d1, d2 = (Discounts.of([sum(1 for x in c.values() if x == r) for r in range(1, 22)]) for c in (uni, bi))
-    ratio = lambda d, c: float(d(np.array([c]))[0])
-    unknown = 1 - sum(ratio(d1, c) * c for c in uni.values()) / n
-    p1 = lambda w: ratio(d1, uni[w]) * uni[w] / n if w in uni else unknown
-    seen, left = defaultdict(float), defaultdict(float)
-    for (h, w), c in bi.items():
-        seen[h] += p1(w)
-        left[h] += (1 - ratio(d2, c)) * c / hist[h]
 
-    def p(h, w):
-        c = bi.get((h, w), 0)
-        return ratio(d2, c) * c / hist[h] if c else p1(w) * (left[h] / (1 - seen[h]) if h in seen else 1)
+    def grams(words, k):
+        """(history, word) of k words, as far as a text's beginning allows; only the beginning itself is a mark."""
+        marked = ["<begin> ", *words]
+        return [(tuple(marked[i - k + 1 : i]), marked[i]) for i in range(max(k - 1, 1), len(marked))]
+
+    counts = {k: Counter(g for i in train for g in grams(text[i], k)) for k in range(1, order + 1)}
+    ratio = {k: good_turing(Counter(c.values())) for k, c in counts.items()}
+    n, v = sum(counts[1].values()), len(counts[1])
+    unknown = 1 - sum(ratio[1](c) * c for c in counts[1].values()) / n
+    after, total = defaultdict(list), defaultdict(int)
+    for k in range(2, order + 1):
+        for (h, w), c in counts[k].items():
+            after[h].append(w)
+            total[h] += c
+    alphas = {}
 
-    assert sum(p("the", w) for w in uni) + unknown * left["the"] / (1 - seen["the"]) == pytest.approx(1, abs=1e-9)
-    assert sum(p1(w) for w in uni) + unknown == pytest.approx(1, abs=1e-9)
-    for i in list(text)[:60]:
+    def p(h, w):
+        k = len(h) + 1
+        c = counts[k].get((h, w), 0)
+        if k == 1:
+            return ratio[1](c) * c / n if c else unknown
+        if c:
+            return ratio[k](c) * c / total[h]
+        if h not in total:
+            return p(h[1:], w)
+        if h not in alphas:
+            alphas[h] = (1 - sum(p(h, x) for x in after[h])) / (1 - sum(p(h[1:], x) for x in after[h]))
+        return alphas[h] * p(h[1:], w)
+
+    words_ = [w for _, w in counts[1]]
+    for h in [(), *sorted((h for h in total if None not in h), key=lambda h: (-total[h], h))[:6]]:
+        assert sum(p(h, w) for w in words_) + p(h, object()) == pytest.approx(1, abs=1e-9)
+    for i in list(text)[:40]:
         words, r = text[i], got.loc[i]
-        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<begin> ", *words[:-1]], words)), rel=1e-9)
-        assert r.base_score == pytest.approx(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in uni for w in words), n)
+        marked = ["<begin> ", *words]
+        want = sum(math.log10(p(tuple(marked[max(0, j - order + 1) : j]) if order > 1 else (), marked[j])) for j in range(1, len(marked)))
+        assert r.score == pytest.approx(want, rel=1e-9)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[1].get(((), w), 0) + 1) / (n + v + 1)) for w in words), rel=1e-9)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(((), w) in counts[1] for w in words), n)
     assert set(got.index[got.held_out]) == set(text) - set(train)
 
 
+def test_katz_tables_are_read_by_key(spark):
+    """The stored tables: a row a shard and order, with sorted keys; counts add up to the training tokens."""
+    import glob
+
+    from overlapse.llm.katz import lm_scores
+    from overlapse.workspace import scratch_dir
+
+    at = scratch_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{at}/lm-counts-*"))
+    total = lm_scores(docs(spark), order=3).head().train_tokens
+    (path,) = set(glob.glob(f"{at}/lm-counts-*")) - before
+    table = spark.read.parquet(path).filter("kind = 'table'").selectExpr("order", "explode(arrays_zip(key, count)) AS x").selectExpr("order", "x.key", "x.count")
+    sums = {r.order: r for r in table.groupBy("order").agg({"count": "sum", "key": "count"}).collect()}
+    assert sums[1]["sum(count)"] == sums[2]["sum(count)"] == total and sums[3]["sum(count)"] < total
+    assert table.groupBy("order", "key").count().filter("count > 1").count() == 0
+
+
 def test_katz_odd(spark):
     from overlapse.llm.katz import lm_scores
 
