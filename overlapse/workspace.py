@@ -38,7 +38,8 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write ``df`` once to the shared folder and return the written table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    # long columns that don't repeat are stored as packed differences
+    writer = df.write.option("compression", "zstd").option("parquet.writer.version", "v2")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     out.scratch_path = path
@@ -50,11 +51,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
+def remove(df: DataFrame, partition: str = "") -> None:
+    """Delete a table that ``materialise`` wrote, or a partition of it, once nothing reads it any more."""
     path = getattr(df, "scratch_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        _delete(df.sparkSession, f"{path}/{partition}" if partition else path)
 
 
 def clear(spark: SparkSession) -> None:
