@@ -39,13 +39,28 @@ SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, block, CASE WHEN token
 """
 
 
-def quality_rules(metrics: dict[str, tuple[str, float, float | None]], gamma: float, min_rows: int, spreads: float) -> str:
+def quality_rules(metrics: dict[str, tuple[str, bool]], gamma: float, min_rows: int, trim: float, edge: float, slack: float) -> str:
     """The verdicts: counts by windows, sketches by grouping, fences by rank in the grouped counts."""
-    value = {k: v[0].replace("greatest(n_lines, 1)", "greatest(n_lines, 1)") for k, v in metrics.items()}
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, ({e.replace('n_words', 'greatest(n_words, 1)')})::DOUBLE AS value FROM st WHERE NOT base_failed" for k, e in value.items())
-    width = "CASE metric " + " ".join(f"WHEN '{k}' THEN {h}" for k, (_, h, _) in metrics.items()) + " END"
-    depth = "CASE metric " + " ".join(f"WHEN '{k}' THEN {'1e300' if low is None else low}" for k, (_, _, low) in metrics.items()) + " END"
-    inside = " AND ".join(f"coalesce(({e.replace('n_words', 'greatest(n_words, 1)')}) BETWEEN coalesce(o.lows['{k}'], g.lows['{k}'], z.lows['{k}']) AND coalesce(o.highs['{k}'], g.highs['{k}'], z.highs['{k}']), true)" for k, e in value.items())
+    value = {k: f"({e.replace('n_words', 'greatest(n_words, 1)')})::DOUBLE" for k, (e, _) in metrics.items()}
+    two_sided = ", ".join(f"'{k}'" for k, (_, low) in metrics.items() if low)
+
+    def sketches(name: str, rows: str, near: float, far: float) -> str:
+        """Quantiles of each group, language and the corpus; buckets' lower edges for a and b, upper ones for c and d."""
+        each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {e} AS value FROM {rows}" for k, e in value.items())
+        lower, upper = (f"CASE WHEN bucket = -100000 THEN 0.0 ELSE exp({gamma!r}) ** (bucket - {x}) END" for x in (1, 0))
+        return f"""
+{name}b AS (SELECT lang, source, metric, CASE WHEN value <= 1e-9 THEN -100000 ELSE ceil(ln(value) / {gamma!r})::BIGINT END AS bucket, count(*) AS n FROM ({each}) GROUP BY ALL),
+{name}l AS (SELECT 2 AS level, lang, source, metric, bucket, n FROM {name}b UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM {name}b GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, metric, bucket, sum(n) FROM {name}b GROUP BY ALL),
+{name}u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total, {lower} AS lower, {upper} AS upper FROM {name}l),
+{name}q AS (SELECT level, lang, source, metric, min(lower) FILTER (upto >= {near!r} * total) AS a, min(lower) FILTER (upto >= 0.5 * total) AS b, min(upper) FILTER (upto >= 0.5 * total) AS c, min(upper) FILTER (upto >= {far!r} * total) AS d FROM {name}u GROUP BY level, lang, source, metric HAVING max(total) >= {min_rows} OR level = 0)"""
+
+    def limits(name: str, low: str, high: str) -> str:
+        return f"{name} AS (SELECT level, lang, source, map_from_entries(list((metric, CASE WHEN metric IN ({two_sided}) THEN {low} ELSE -1e300 END))) AS lows, map_from_entries(list((metric, {high}))) AS highs FROM {name}q GROUP BY level, lang, source)"
+
+    def judged(name: str, limits: str, rows: str) -> str:
+        inside = " AND ".join(f"{e} BETWEEN coalesce(o.lows['{k}'], g.lows['{k}'], z.lows['{k}']) AND coalesce(o.highs['{k}'], g.highs['{k}'], z.highs['{k}'])" for k, e in value.items())
+        return f"{name} AS (SELECT s.*, coalesce({inside}, true) AS inside FROM {rows} s LEFT JOIN {limits} o ON o.level = 2 AND o.lang IS NOT DISTINCT FROM s.lang AND o.source IS NOT DISTINCT FROM s.source LEFT JOIN {limits} g ON g.level = 1 AND g.lang IS NOT DISTINCT FROM s.lang LEFT JOIN {limits} z ON z.level = 0)"
+
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
 tri AS (SELECT id, i, (w[i], w[i+1], w[i+2]) AS t FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
@@ -53,12 +68,11 @@ hit AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, t) AS k
 rep AS (SELECT id, count(DISTINCT i + o) AS n FROM hit, range(3) r(o) GROUP BY id),
 ln AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORDS}') GROUP BY id),
 st AS (SELECT d.id, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '[!?]')) AS n_marks, len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN rep USING (id) LEFT JOIN ln USING (id)),
-mv AS ({rows}),
-bk AS (SELECT lang, source, metric, CASE WHEN value <= 1e-9 THEN -100000 ELSE ceil(ln(value) / {gamma!r})::BIGINT END AS bucket, count(*) AS n FROM mv GROUP BY ALL),
-lv AS (SELECT 2 AS level, lang, source, metric, bucket, n FROM bk UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM bk GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, metric, bucket, sum(n) FROM bk GROUP BY ALL),
-up AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total, CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * exp({gamma!r}) ** bucket / (exp({gamma!r}) + 1) END AS value FROM lv),
-q AS (SELECT level, lang, source, metric, max(total) AS total, min(value) FILTER (upto >= 0.05 * total) AS q05, min(value) FILTER (upto >= 0.5 * total) AS q50, min(value) FILTER (upto >= 0.95 * total) AS q95 FROM up GROUP BY level, lang, source, metric),
-fc AS (SELECT level, lang, source, map_from_entries(list((metric, q50 - greatest({spreads} * (q95 - q50), {depth})))) AS lows, map_from_entries(list((metric, q50 + greatest({spreads} * (q50 - q05), {width})))) AS highs FROM q WHERE total >= {min_rows} OR level = 0 GROUP BY level, lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {inside}) AS kept
-FROM st LEFT JOIN fc o ON o.level = 2 AND o.lang IS NOT DISTINCT FROM st.lang AND o.source IS NOT DISTINCT FROM st.source LEFT JOIN fc g ON g.level = 1 AND g.lang IS NOT DISTINCT FROM st.lang LEFT JOIN fc z ON z.level = 0
+ok AS (SELECT * FROM st WHERE NOT base_failed),{sketches('c', 'ok', 0.25, 0.75)},
+{limits('c', f'CASE WHEN a < b THEN b - {trim} * (b - a) ELSE -1e300 END', f'CASE WHEN d > c THEN c + {trim} * (d - c) ELSE 1e300 END')},
+{judged('core', 'c', 'ok')},
+inner_rows AS (SELECT * FROM core WHERE inside),{sketches('f', 'inner_rows', 1 - edge, edge)},
+{limits('f', f'a - {slack} * (b - a)', f'd + {slack} * (d - c)')},
+{judged('final', 'f', 'st')}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND inside) AS kept FROM final
 """

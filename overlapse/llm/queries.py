@@ -91,7 +91,7 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op3_line_dedup": oracles.LINE_DEDUP,
-        "op4_quality_rules": oracles.quality_rules(quality_rules.METRICS, math.log(quality_rules.GAMMA), quality_rules.MIN_ROWS, quality_rules.SPREADS),
+        "op4_quality_rules": oracles.quality_rules(quality_rules.METRICS, math.log(quality_rules.GAMMA), quality_rules.MIN_ROWS, quality_rules.TRIM, quality_rules.EDGE, quality_rules.SLACK),
         "op8_mixing": oracles.MIXING,
         "op9_exact_topk": oracles.EXACT_TOPK,
     }

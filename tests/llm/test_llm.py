@@ -320,6 +320,23 @@ def test_quality_verdicts_follow_labels(spark):
     assert some[some.quality == 1].kept.mean() > 0.99 and some[some.quality == 0].kept.mean() < 0.05
 
 
+def test_quality_fences_adapt(spark):
+    """A source whose clean documents hold many symbols and marks keeps them; the same documents fail elsewhere."""
+    from overlapse.llm.quality_rules import quality_verdicts
+
+    rng, rows = np.random.default_rng(8), []
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8))) for _ in range(400)]
+    for i in range(1200):
+        words = [str(x) for x in rng.choice(vocab, 120)]
+        marked = i % 2 == 0 and rng.random() < 0.4 or i in (1, 3, 5, 7, 9)
+        for k in rng.choice(120, int(rng.integers(20, 50)) if marked else 0, replace=False):
+            words[k] += "!&"
+        rows.append((i, " ".join(words), "en", "marked" if i % 2 == 0 else "plain"))
+    got = {r.doc_id: r for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in got) and not any(got[i].kept for i in (1, 3, 5, 7, 9))
+    assert sum(got[i].kept for i in range(0, 1200, 2)) >= 594 and sum(got[i].kept for i in range(11, 1200, 2)) >= 580
+
+
 def test_quality_odd(spark):
     from overlapse.llm.quality_rules import quality_filter, quality_verdicts
 
