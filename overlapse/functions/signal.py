@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 FRAME, HOP = 4096, 2048
+#: Magnitudes below this count as it: -120 dB.
+FLOOR = 1e-6
 
 
 def windows(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -22,7 +24,7 @@ def log_spectrogram(x: np.ndarray, size: int = FRAME, hop: int = HOP) -> np.ndar
     """Magnitudes in dB, [bands, frames], scaled by the window's sum; neither padded nor extended."""
     taper = hann(size)
     spectrum = np.fft.rfft(windows(x.astype(np.float64), size, hop) * taper, axis=1) / taper.sum()
-    return 20 * np.log10(np.abs(spectrum).T + 1e-9)
+    return 20 * np.log10(np.abs(spectrum).T + FLOOR)
 
 
 def sliding_max(grid: np.ndarray, size: int, axis: int) -> np.ndarray:
@@ -45,9 +47,9 @@ def constellation(spectrogram: np.ndarray, neighborhood: int = 20, energy_pct: f
     return at, band
 
 
-def fingerprint(x: np.ndarray, sr: int = 16000, fan: int = 15, max_dt: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, seconds) of a signal's landmarks: each peak with the next ``fan`` peaks up to ``max_dt`` later."""
-    at, band = constellation(log_spectrogram(x))
+def fingerprint(x: np.ndarray, sr: int = 16000, fan: int = 15, max_dt: float = 5.0, min_dt: float = 0.0, size: int = FRAME, hop: int = HOP, neighborhood: int = 20, energy_pct: float = 20.0, flux_pct: float = 25.0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, seconds) of a signal's landmarks: each peak with the next ``fan`` peaks from ``min_dt`` to ``max_dt`` later."""
+    at, band = constellation(log_spectrogram(x, size, hop), neighborhood, energy_pct, flux_pct)
     n = len(at)
     if n < 2:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -56,11 +58,11 @@ def fingerprint(x: np.ndarray, sr: int = 16000, fan: int = 15, max_dt: float = 5
     ok = second < n
     first, second = first[ok], second[ok]
     dt = at[second] - at[first]
-    ok = dt * HOP / sr <= max_dt
+    ok = (dt * hop / sr <= max_dt) & (dt * hop / sr >= min_dt)
     first, second, dt = first[ok], second[ok], dt[ok]
     low = 1023
     hashes = ((band[first] & low).astype(np.int64) << 20) | ((band[second] & low).astype(np.int64) << 10) | (dt & low)
-    return hashes, at[first] * HOP / sr
+    return hashes, at[first] * hop / sr
 
 
 def bandwidth(x: np.ndarray, sr: int, share: float = 0.985) -> float:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from overlapse.config import TEXT
 from overlapse.operators import align, landmarks, retrieval
-from overlapse.workspace import materialise
+from overlapse.workspace import materialise, remove
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,18 +32,21 @@ def visual_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weights(marks: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     # counted in the plan, not by an action of its own
     n = table(spark, sf_dir, "documents").agg(F.count("*").cast("double").alias("n"))
-    df = marks.select("hash", "cid").distinct().groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
-    from overlapse.functions.scalar import idf
+    return retrieval.document_frequency(marks, n, TEXT.candidate.idf_smoothing)
 
-    return df.crossJoin(F.broadcast(n)).select("hash", "df", idf(F.col("n"), F.col("df") - 1, TEXT.candidate.idf_smoothing).alias("w"))
 
-
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, n, mass, is_audio) of both channels."""
+def written_landmarks(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame, bool]]:
+    """(landmarks, weights, is_audio) of both channels, written once for all that reads them."""
     out = []
     for marks, is_audio in ((audio_landmarks(spark, sf_dir), True), (visual_landmarks(spark, sf_dir), False)):
         marks = materialise(marks, "landmarks")
-        out.append(retrieval.grouped_collisions(marks, weights(marks, spark, sf_dir)).withColumn("is_audio", F.lit(is_audio)))
+        out.append((marks, materialise(weights(marks, spark, sf_dir), "weights"), is_audio))
+    return out
+
+
+def votes(spark: SparkSession, sf_dir: str, marks: list[tuple[DataFrame, DataFrame, bool]] | None = None) -> DataFrame:
+    """(a, b, n, mass, is_audio) of both channels."""
+    out = [retrieval.grouped_collisions(m, w).withColumn("is_audio", F.lit(is_audio)) for m, w, is_audio in marks or written_landmarks(spark, sf_dir)]
     return out[0].unionByName(out[1])
 
 
@@ -53,12 +56,15 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of all candidate pairs, in both channels."""
-    pairs = materialise(candidate_pairs(spark, sf_dir).select("a", "b"), "candidates")
-    out = []
-    for marks, is_audio in ((audio_landmarks(spark, sf_dir), True), (visual_landmarks(spark, sf_dir), False)):
-        marks = materialise(marks, "landmarks")
-        out.append(retrieval.matched(marks, weights(marks, spark, sf_dir), pairs, is_audio))
-    return materialise(out[0].unionByName(out[1]), "evidence")
+    marks = written_landmarks(spark, sf_dir)
+    pairs = materialise(retrieval.candidates(votes(spark, sf_dir, marks), TEXT.candidate).select("a", "b"), "candidates")
+    out = [retrieval.matched(m, w, pairs, is_audio) for m, w, is_audio in marks]
+    found = materialise(out[0].unionByName(out[1]), "evidence")
+    for m, w, _ in marks:
+        remove(m)
+        remove(w)
+    remove(pairs)
+    return found
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +79,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b): documents of one content, linked to the next one by id, and so into a chain."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", landmarks.content_id(F.col("text")).alias("cid"))
-    w = W.partitionBy("cid").orderBy("doc_id")
-    return docs.withColumn("b", F.lead("doc_id").over(w)).filter("b is not null").select(F.col("doc_id").alias("a"), "b")
+    """(a, b): documents of one content, each linked to the first by id; documents without a text have none."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", landmarks.content_id(F.col("text")).alias("cid"))
+    first = docs.groupBy("cid").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return docs.join(first, "cid").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,33 +1,51 @@
-"""The catalog: Parquet tables with set-wise upserts, replaced by an atomic rename."""
+"""The catalog: Parquet tables with set-wise upserts; a version's number is claimed by a rename."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlapse.schemas import CATALOG, schema_of
+from overlapse.workspace import materialise, remove
+
+
+def one_a_key(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The least row of each key, by its columns in turn: the same one on every run. Null keys are keys too."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in rows.columns]) if rest else rows.distinct()
+
+
+def _without(rows: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    there = other.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]).distinct()
+    same = reduce(Column.__and__, [rows[c].eqNullSafe(there[f"_k{i}"]) for i, c in enumerate(key)])
+    return rows.join(there, same, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new``, which win on equal keys."""
-    return old.join(new.select(*key), key, "left_anti").unionByName(new)
+    """``old`` with the rows of ``new``, one a key, which win on equal keys."""
+    return _without(old, new, key).unionByName(one_a_key(new, key))
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """The rows of ``new`` whose key isn't in ``old``, one a key."""
-    return new.join(old.select(*key), key, "left_anti").dropDuplicates(key)
+    return one_a_key(_without(new, old, key), key)
 
 
 class Catalog:
     """Tables below one folder; a missing table reads as empty.
 
-    A version of a table is a folder of its own, written whole before a small pointer file
-    names it: readers see the old version or the new one, and a lost writer leaves
-    the old one in place.
+    A version of a table is written whole into a folder of its own and then renamed to the
+    next number; the highest number is the table. Readers see the old version or the new
+    one, never neither, and a lost writer leaves the old one in place. A writer whose number is
+    taken meanwhile fails. The last ``KEPT`` versions stay, for readers that have begun.
     """
 
+    #: Versions before the current one that are kept.
+    KEPT = 2
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
@@ -35,11 +53,16 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
+    def _versions(self, name: str) -> list[int]:
+        fs, p = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
-            return None
-        return self.spark.read.text(p.toString()).head()[0]
+            return []
+        found = [x.getPath().getName() for x in fs.listStatus(p)]
+        return sorted(int(x[2:]) for x in found if x.startswith("v-"))
+
+    def _current(self, name: str) -> str | None:
+        versions = self._versions(name)
+        return f"v-{versions[-1]}" if versions else None
 
     def exists(self, name: str) -> bool:
         return self._current(name) is not None
@@ -51,16 +74,15 @@ class Catalog:
 
     def replace(self, name: str, rows: DataFrame) -> None:
         schema = schema_of(name)
-        version, before = f"v-{uuid.uuid4().hex}", self._current(name)
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{self.root}/{name}/{version}")
-        fs, at = self._fs(f"{self.root}/{name}/CURRENT")
-        stream = fs.create(at, True)
-        try:
-            stream.write(bytearray(version, "utf-8"))
-        finally:
-            stream.close()
-        if before:
-            fs.delete(self._fs(f"{self.root}/{name}/{before}")[1], True)
+        number = max(self._versions(name), default=0) + 1
+        draft = f"{self.root}/{name}/draft-{uuid.uuid4().hex}"
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(draft)
+        fs, at = self._fs(f"{self.root}/{name}/v-{number}")
+        if fs.exists(at) or not fs.rename(self._fs(draft)[1], at):
+            fs.delete(self._fs(draft)[1], True)
+            raise RuntimeError(f"version {number} of {name} was written meanwhile")
+        for old in self._versions(name)[: -1 - self.KEPT]:
+            fs.delete(self._fs(f"{self.root}/{name}/v-{old}")[1], True)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         self.replace(name, upsert(self.read(name), rows.select(*schema_of(name).names), CATALOG[name][1]))
@@ -94,6 +116,19 @@ class FeatureCache:
     def save(self, kind: str, rows: DataFrame) -> None:
         rows.withColumn("prefix", F.substring(F.col("cid").cast("string"), 1, 2)).write.mode("append").partitionBy("prefix").parquet(f"{self.root}/{kind}")
 
+    def remove(self, kind: str, gone: DataFrame) -> None:
+        """Delete the features of the ids in ``gone`` (cid): the prefixes that hold any are written anew."""
+        path = f"{self.root}/{kind}"
+        held = self.spark.read.parquet(path)
+        prefixes = held.join(gone.select("cid").distinct(), "cid", "left_semi").select("prefix").distinct()
+        left = held.join(F.broadcast(prefixes), "prefix", "left_semi").join(gone.select("cid"), "cid", "left_anti")
+        written = materialise(left, "features-left")
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for r in prefixes.toLocalIterator():  # at most as many as there are two-character prefixes
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/prefix={r['prefix']}"), True)
+        written.write.mode("append").partitionBy("prefix").parquet(path)
+        remove(written)
+
     def complete(self, kinds: dict) -> DataFrame:
         """Ids that have features of every kind."""
         out = None

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from overlapse.config import VIDEO_EXTENSIONS
@@ -20,7 +21,7 @@ def scan(spark: SparkSession, roots: str | list[str], extensions: tuple[str, ...
     reader = (spark.readStream if streaming else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
     if streaming:
         reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
-        files = reader.load(roots if isinstance(roots, str) else roots[0])
+        files = reduce(DataFrame.unionAll, [reader.load(r) for r in ([roots] if isinstance(roots, str) else roots)])
     else:
         files = reader.load(roots)
     kept = files.filter(F.lower("path").rlike(r"\.(" + "|".join(extensions) + ")$"))
@@ -43,15 +44,20 @@ def gone(files: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(items: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """``items`` (content_id, path, ...) with status: new for the first path of an unknown content, else duplicate."""
-    rank = F.row_number().over(W.partitionBy("content_id").orderBy("path"))
-    rows = items.withColumn("_r", rank)
+    """``items`` (content_id, path, ...) with status: new for the first path of an unknown content, else duplicate.
+
+    The first path is an aggregate, so that a content with very many paths is never one task's
+    work; rows without a content are new. Of rows with one content and path all have one status.
+    """
+    first = items.filter("content_id is not null").groupBy("content_id").agg(F.min("path").alias("_first"))
     if catalog is not None:
         had = catalog.select("content_id", F.lit(True).alias("_had")).distinct()
-        rows = rows.join(had, "content_id", "left")
+        first = first.join(had, "content_id", "left")
     else:
-        rows = rows.withColumn("_had", F.lit(None).cast("boolean"))
-    return rows.withColumn("status", F.when(F.col("_had").isNull() & (F.col("_r") == 1), "new").otherwise("duplicate")).drop("_r", "_had")
+        first = first.withColumn("_had", F.lit(None).cast("boolean"))
+    rows = items.join(first, "content_id", "left")
+    new = F.col("content_id").isNull() | (F.col("_had").isNull() & F.col("path").eqNullSafe(F.col("_first")))
+    return rows.withColumn("status", F.when(new, "new").otherwise("duplicate")).drop("_first", "_had")
 
 
 def parse_probe(records: DataFrame, column: str = "probe_json") -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from overlapse.config import AlignConfig, CandidateConfig, Config, DecideConfig
@@ -16,6 +17,15 @@ from overlapse.sources import actions, files, media
 from overlapse.sources.catalog import Catalog, FeatureCache
 
 
+def nearest(vectors, k, least):
+    """The k nearest rows of each by brute force, those of other files and similar enough."""
+    rows = vectors.select(F.col("cid").alias("b"), F.col("t").alias("tb"), F.col("vec").alias("vb"))
+    scored = vectors.select(F.col("cid").alias("a"), F.col("t").alias("ta"), F.col("vec").alias("va")).crossJoin(rows)
+    scored = scored.withColumn("sim", F.round(scalar.dot(F.col("va"), F.col("vb")), 9))
+    rank = F.row_number().over(Window.partitionBy("a", "ta").orderBy(F.desc("sim"), "b", "tb"))
+    return scored.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("a") != F.col("b")) & (F.col("sim") >= least))
+
+
 def seg(cluster, pos, vid, s, e, q=1.0, terrible=False, aq=0.0, lang="", rank=0, size=0):
     return (cluster, pos, vid, float(s), float(e), float(q), terrible, float(aq), lang, rank, size)
 
@@ -93,6 +103,28 @@ def test_timeline(spark):
     assert {r.node: round(r.offset, 4) for r in placed.collect()} == {n: truth[n] for n in truth}
 
 
+def test_timeline_of_large_components(spark):
+    """Components beyond the dense solver against elimination: a ring with noise, and a random graph."""
+    rng, edges, extents = np.random.default_rng(2), [], []
+    truth = rng.uniform(0, 1000, 900)
+    links = [(k, (k + 1) % 450) for k in range(450)] + [(450 + int(a), 450 + int(b)) for a, b in rng.integers(0, 450, (1500, 2)) if a != b] + [(450 + k, 451 + k) for k in range(449)]
+    for k, (a, b) in enumerate(links):
+        edges.append((k, f"n{a:04d}", f"n{b:04d}", float(truth[a] - truth[b] + rng.normal(0, 0.1)), float(rng.uniform(0.1, 5))))
+    extents = [(f"n{k:04d}", 0.0, 100.0 if k in (7, 460) else 20.0) for k in range(900)]
+    e = spark.createDataFrame(edges, "edge_id long, i string, j string, beta double, weight double")
+    placed, residuals = timeline.checked_solve(e, spark.createDataFrame(extents, "node string, tmin double, tmax double"), 9.0)
+    rows = {r.node: r for r in placed.collect()}
+    assert {n for n, r in rows.items() if r.reference} == {"n0007", "n0460"} and residuals.count() == len(links)
+    m, y = np.zeros((len(links) + 2, 900)), np.zeros(len(links) + 2)
+    for k, (a, b) in enumerate(links):
+        m[k, a], m[k, b], y[k] = 1, -1, edges[k][3]
+        m[k] *= np.sqrt(edges[k][4])
+        y[k] *= np.sqrt(edges[k][4])
+    m[-1, 7] = m[-2, 460] = 1e4
+    want = np.linalg.lstsq(m, y, rcond=None)[0]
+    assert all(rows[f"n{k:04d}"].offset == pytest.approx(want[k], abs=1e-5) for k in range(900))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 5), (300, 100)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -152,7 +184,7 @@ def test_nearest_and_hamming(spark):
     v = rng.normal(size=(40, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(int(i % 4), int(i), x.astype(float).tolist()) for i, x in enumerate(v)], "cid long, t long, vec array<double>")
-    a, b = (sorted((r.a, r.ta, r.b, r.tb) for r in f.collect()) for f in (retrieval.nearest(df, 5, 0.2), retrieval.blocked_nearest(df, 5, 0.2, block=7)))
+    a, b = (sorted((r.a, r.ta, r.b, r.tb) for r in f.collect()) for f in (nearest(df, 5, 0.2), retrieval.blocked_nearest(df, 5, 0.2, block=7)))
     assert a == b and a
     bits = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 30)]
     bits += [b ^ (1 << 63) - (1 << 63) ^ 5 for b in bits[:10]] + [b ^ 1023 for b in bits[:5]]
