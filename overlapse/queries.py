@@ -128,11 +128,11 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_probe(line.select("l_orderkey", "l_linenumber", text.alias("probe_json")))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS w, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber % 3 * 12.0 ELSE 24.0 END AS fps, l_linenumber % 3 <> 2 AS vfr, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey END AS bitrate, CASE WHEN l_linenumber % 2 = 1 THEN 7.5 ELSE l_suppkey::DOUBLE END AS duration, l_returnflag <> 'N' AS has_audio, CASE WHEN l_returnflag <> 'N' THEN 2 ELSE 0 END::INTEGER AS n_tracks, CASE WHEN l_returnflag <> 'N' AND l_linestatus = 'F' THEN 1 ELSE 0 END::INTEGER AS default_track, CASE WHEN l_returnflag = 'N' THEN '' ELSE ['', 'en', 'es'][l_partkey % 3 + 1] END AS lang FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS w, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber % 3 * 12.0 ELSE 24.0 END AS fps, l_linenumber % 3 <> 2 AS vfr, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey ELSE -1 END AS bitrate, CASE WHEN l_linenumber % 2 = 1 THEN 7.5 ELSE l_suppkey::DOUBLE END AS duration, l_returnflag <> 'N' AS has_audio, CASE WHEN l_returnflag <> 'N' THEN 2 ELSE 0 END::INTEGER AS n_tracks, CASE WHEN l_returnflag <> 'N' AND l_linestatus = 'F' THEN 1 ELSE 0 END::INTEGER AS default_track, CASE WHEN l_returnflag = 'N' THEN '' ELSE ['', 'en', 'es'][l_partkey % 3 + 1] END AS lang FROM lineitem")
 def json_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe records read, and the language of the first track."""
     p = _probes(spark, sf_dir)
-    return p.select("l_orderkey", "l_linenumber", F.col("declared_w").alias("w"), F.col("declared_fps").alias("fps"), "vfr", F.col("declared_bitrate").alias("bitrate"), F.col("declared_duration").alias("duration"), "has_audio", F.col("n_tracks").cast("int").alias("n_tracks"), F.col("default_track").cast("int").alias("default_track"), scalar.language(F.get("tracks", F.lit(0))["lang_tag"]).alias("lang"))
+    return p.select("l_orderkey", "l_linenumber", F.col("declared_w").alias("w"), F.col("declared_fps").alias("fps"), "vfr", F.coalesce("declared_bitrate", F.lit(-1)).alias("bitrate"), F.col("declared_duration").alias("duration"), "has_audio", F.col("n_tracks").cast("int").alias("n_tracks"), F.col("default_track").cast("int").alias("default_track"), scalar.language(F.get("tracks", F.lit(0))["lang_tag"]).alias("lang"))
 
 
 @query("WITH rk AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT DISTINCT source, doc_id FROM rk WHERE n <= 16 OR r IN (SELECT CAST(round_even(i * (n - 1) / 15.0, 0) AS BIGINT) FROM range(16) t(i))")
