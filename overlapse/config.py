@@ -32,6 +32,8 @@ class VisionConfig:
 @dataclass(frozen=True)
 class AudioConfig:
     sr: int = 16000
+    #: Rate at which sound is measured: high enough to see where a codec cuts it off.
+    measured_sr: int = 44100
     frame: int = 4096
     hop: int = 2048
     peak_neighborhood: int = 20

@@ -86,6 +86,10 @@ def html_report(rows: DataFrame, path: str) -> None:
         f.write("</table>\n")
 
 
-def record_verdicts(queue: DataFrame, answers: DataFrame) -> DataFrame:
-    """The review queue with answers (a, b, verdict) where there are any."""
-    return queue.join(answers.select("a", "b", "verdict"), ["a", "b"], "left")
+def review_report(queue: DataFrame, files: DataFrame) -> Iterator[str]:
+    """The pairs to look at, the surest first, by the names of their files."""
+    named = files.select("content_id", basename(F.col("path")).alias("name"))
+    for side in ("a", "b"):
+        queue = queue.join(named.select(F.col("content_id").alias(side), F.col("name").alias(f"name_{side}")), side, "left")
+    for r in queue.orderBy(F.desc("confidence"), "a", "b").toLocalIterator():
+        yield f"{r['name_a'] or r['a']} ~ {r['name_b'] or r['b']}: {r['modality']}, offset {r['beta']:.1f} s, {r['a_inliers']} by sound, {r['v_inliers']} by picture, confidence {r['confidence']:.2f}"

@@ -369,6 +369,107 @@ def test_engine(spark, tmp_path):
     assert {r.cid for r in engine.active_files(p.landmarks, p.descriptors, p.files, Config()).collect()} == {"full", "clip"}
 
 
+def library_of_clips(spark, folder):
+    """Files below ``folder``/lib and their decoded tables: a title, a copy, a clip, a silent clip, a redub, a stranger, a black one."""
+    from overlapse.functions.image import resize
+
+    rng, sr = np.random.default_rng(12), 16000
+
+    def film(seconds):
+        coarse = rng.integers(0, 255, (seconds, 6, 8))
+        return np.clip(resize(coarse, 48, 64), 0, 255).astype(np.uint8)
+
+    def sound(seconds):
+        notes = rng.uniform(200, 4000, (seconds * 4, 3))
+        t = np.arange(sr // 4) / sr
+        return np.concatenate([np.sin(2 * np.pi * f[:, None] * t).sum(axis=0) for f in notes]).astype("<f4") + rng.normal(0, 0.02, seconds * sr).astype("<f4")
+
+    noisy = lambda x: np.clip(x + rng.normal(0, 3, x.shape), 0, 255).astype(np.uint8)
+    a, a_sound, b, b_sound = film(40), sound(40), film(40), sound(40)
+    items = {
+        "a_full": (a, a_sound, 1280, "eng"), "a_copy": (a, a_sound, 1280, "eng"), "a_clip": (noisy(a[10:30]), a_sound[10 * sr : 30 * sr], 640, "eng"), "a_silent": (noisy(a[5:25]), None, 640, None),
+        "a_redub": (noisy(a), sound(40), 960, "spa"), "b_full": (b, b_sound, 1280, None), "black": (np.zeros((20, 48, 64), np.uint8), None, 1280, None),
+    }
+    (folder / "lib").mkdir()
+    probes, frames, audio = [], [], []
+    for name, (pictures, x, width, lang) in items.items():
+        (folder / "lib" / f"{name}.mp4").write_bytes(name.encode())
+        path = f"file:{folder}/lib/{name}.mp4"
+        streams = [{"codec_type": "video", "codec_name": "h264", "width": width, "height": width * 3 // 4, "avg_frame_rate": "24/1", "r_frame_rate": "24/1", "bit_rate": str(width * 3000)}]
+        streams += [{"codec_type": "audio", "codec_name": "aac", "channels": 2, "bit_rate": "128000", "tags": {"language": lang} if lang else {}}] if x is not None else []
+        probes.append((path, json.dumps({"streams": streams, "format": {"duration": str(float(len(pictures)))}})))
+        frames += [(path, float(k), 48, 64, p.tobytes()) for k, p in enumerate(pictures)]
+        audio += [(path, 0, sr, x.tobytes())] if x is not None else []
+    (folder / "lib" / "broken.mp4").write_bytes(b"?")
+    for name, rows, kind in (("probes", probes, "path string, probe_json string"), ("frames", frames, "path string, t double, height int, width int, data binary"), ("audio", audio, "path string, track int, sr int, data binary")):
+        spark.createDataFrame(rows, kind).write.parquet(f"file://{folder}/decoded/{name}")
+
+
+def test_scan_to_decisions(spark, tmp_path, capsys):
+    """The command line, from files to decisions; a second run finds nothing to do and decides alike."""
+    from overlapse.__main__ import main
+
+    library_of_clips(spark, tmp_path)
+    common = ["--catalog", f"file://{tmp_path}/cat", "--decoded", f"file://{tmp_path}/decoded", "--set", "quality.terrible_audio_bw_hz=1000", "--set", "audio.flux_pct=25"]
+    assert main([*common, "scan", str(tmp_path / "lib"), "--html", str(tmp_path / "r.html")], spark) == 0
+    out = capsys.readouterr().out
+    assert "duplicate: 1" in out and "error: 1" in out and "new: 6" in out
+    c = Catalog(spark, f"file://{tmp_path}/cat/catalog")
+    name = {r.content_id: r.path.rsplit("/", 1)[1].split(".")[0] for r in c.read("file").collect()}
+    got = {name[r.content_id]: (r.action, name.get(r.dominated_by)) for r in c.read("decision").collect()}
+    full = "a_copy"  # the first path of its content
+    assert set(name.values()) == {full, "a_clip", "a_silent", "a_redub", "b_full", "black"}
+    assert got == {full: ("keep", None), "a_clip": ("prune", full), "a_silent": ("prune", full), "a_redub": ("keep", None), "b_full": ("keep", None), "black": ("keep", None)}
+    modality = {tuple(sorted((name[r.a], name[r.b]))): r.modality for r in c.read("match_edge").collect()}
+    assert modality[("a_clip", full)] == "both" and modality[tuple(sorted(("a_redub", full)))] == "audio_variant" and modality[tuple(sorted(("a_silent", full)))] == "visual"
+    start = {name[r.content_id]: r.s_canonical for r in c.read("timeline").collect()}
+    assert start["a_clip"] - start[full] == pytest.approx(10, abs=0.3) and start["a_silent"] - start[full] == pytest.approx(5, abs=0.6)
+    first = sorted(map(str, c.read("match_edge").collect()))
+    assert main([*common, "scan", str(tmp_path / "lib")], spark) == 0
+    assert "known: 7" in capsys.readouterr().out and sorted(map(str, c.read("match_edge").collect())) == first
+    (tmp_path / "pairs.txt").write_text("a_full.mp4\na_clip.mp4\n\na_full.mp4\nb_full.mp4\n")
+    main([*common, "eval", f"file://{tmp_path}/pairs.txt"], spark)
+    assert "1 of 2 pairs found" in capsys.readouterr().out
+    main([*common, "calibrate", "--write", str(tmp_path / "floors.json")], spark)
+    assert Config.load(str(tmp_path / "floors.json")).quality.terrible_reff_px > 0
+    from overlapse.plans.ingest import decodable
+    from overlapse.__main__ import library
+
+    lib = library(spark, f"file://{tmp_path}/cat", f"file://{tmp_path}/decoded", Config())
+    gone = decodable(lib).filter("path like '%b_full%'")
+    lib.features.remove("dense", gone)
+    lib.features.remove("audio", gone)
+    left = lib.features.load("audio", spark.createDataFrame([], "cid string").schema)
+    assert left.count() and not left.join(gone, "cid", "left_semi").count()
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    rows = [("f", float(t), 6, 4, rng.integers(0, 255, (6, 4, 3)).astype(np.uint8).tobytes()) for t in range(40)] + [("g", 0.0, 6, 4, bytes(24))]
+    frames = spark.createDataFrame(rows, media.FRAMES)
+    cfg = Config.load(overrides={"vision": {"embed_size": 8, "flip_augment": True}})
+
+    def embed(x):
+        assert len(x) <= 32 and x.shape[1:] == (3, 8, 8) and x.dtype == np.float32
+        return x.reshape(len(x), -1)
+
+    got = media.embeddings(frames, embed, cfg).collect()
+    assert len(got) == 82 and all(np.linalg.norm(r.vec) == pytest.approx(1, abs=1e-5) for r in got)
+    black = np.repeat([-m / s for m, s in zip(media.CHANNEL_MEAN, media.CHANNEL_STD)], 64)
+    assert np.allclose(next(r.vec for r in got if r.cid == "g"), black / np.linalg.norm(black), atol=1e-5)
+    assert media.descriptors(frames, cfg, embed, every=True).count() == 82
+
+
+def test_catalog_rows_and_versions(spark, tmp_path):
+    """Two new rows of a key leave one; readers of an older version still read it."""
+    c = Catalog(spark, f"file://{tmp_path}/cat")
+    schema = c.read("file").schema
+    c.upsert("file", spark.createDataFrame([("1", "b", 1, 0.0, "{}", 0.0), ("1", "a", 1, 0.0, "{}", 0.0)], schema))
+    before = c.read("file")
+    c.upsert("file", spark.createDataFrame([("1", "c", 1, 0.0, "{}", 0.0)], schema))
+    assert [r.path for r in before.collect()] == ["a"] and [r.path for r in c.read("file").collect()] == ["c"]
+
+
 def test_config(tmp_path):
     c = Config.load(overrides={"align": {"inlier_tol": 2.0}})
     c.dump(str(tmp_path / "c.json"))
