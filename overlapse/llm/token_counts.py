@@ -7,6 +7,7 @@ to the whole text's count.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.llm.arrowtext import trimmed
+from overlapse.llm.arrowtext import byte_steps, trimmed
 
 #: Bytes that one call of the tokenizer gets; also the size beyond which a text is split.
 BATCH_BYTES = 512 << 10
@@ -27,10 +28,15 @@ SAFE_SPACE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ]) (?=[A-Za-zÀ-ÖØ-öø-ɏ
 
 
 def split_safely(text: str, limit: int = BATCH_BYTES) -> list[str]:
-    """Parts of about ``limit`` characters whose concatenation is the text, cut at safe spaces only."""
+    """Parts of ``limit`` bytes or little more whose concatenation is the text, cut at safe spaces only."""
     parts, start = [], 0
-    while len(text) - start > limit:
-        cut = SAFE_SPACE.search(text, start + limit)
+    while len(text) - start > limit // 4:
+        # a character is one to four bytes: as many as fill the limit at most
+        size = len(text[start : start + limit].encode("utf-8", "surrogatepass"))
+        step = min(limit, max(1, limit * min(limit, len(text) - start) // max(1, size)))
+        if start + step >= len(text):
+            break
+        cut = SAFE_SPACE.search(text, start + step)
         if cut is None:
             break
         parts.append(text[start : cut.start()])
@@ -39,6 +45,19 @@ def split_safely(text: str, limit: int = BATCH_BYTES) -> list[str]:
     return parts
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer's file says that a word always ends before a space: a byte-level pre-tokenizer with its
+    own pattern of words, no normaliser, and no added token that holds a space."""
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    steps = data.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers", [steps]) if steps.get("type") == "Sequence" else [steps]
+    level = [s for s in steps if s.get("type") == "ByteLevel"]
+    return data.get("normalizer") is None and len(steps) == len(level) == 1 and level[0].get("use_regex", True) and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in data.get("added_tokens", []))
+
+
 def load_counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts for a tokenizers (.json) or sentencepiece (.model) file."""
     if path.endswith(".model"):
@@ -56,7 +75,7 @@ def load_counter(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def count_texts(texts: list[str], count: Callable[[list[str]], list[int]], limit: int = BATCH_BYTES, splits: bool = True) -> list[int]:
-    """Counts of whole texts, in calls of about ``limit`` characters."""
+    """Counts of whole texts, in calls of about ``limit`` bytes."""
     totals = [0] * len(texts)
     batch: list[str] = []
     owners: list[int] = []
@@ -72,11 +91,12 @@ def count_texts(texts: list[str], count: Callable[[list[str]], list[int]], limit
 
     for i, text in enumerate(texts):
         for part in split_safely(text, limit) if splits else [text]:
-            if batch and size + len(part) > limit:
+            n = len(part.encode("utf-8", "surrogatepass"))
+            if batch and size + n > limit:
                 flush()
             batch.append(part)
             owners.append(i)
-            size += len(part)
+            size += n
     if batch:
         flush()
     return totals
@@ -87,19 +107,19 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     A null text counts as empty (0 bytes, 0 tokens). Null ids, repeated rows and
     ties are kept as they are, one result a row; an empty table gives an empty
-    result; other columns are not read. Sentencepiece files are encoded whole,
-    as their normaliser may join what stands on either side of a cut.
+    result; other columns are not read. Texts are encoded whole where the tokenizer's file
+    doesn't say that a word always ends before a space (``cuts_at_spaces``).
     """
-    splits = not tokenizer_path.endswith(".model")
+    splits = cuts_at_spaces(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = load_counter(tokenizer_path)
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
             n_bytes = pc.cast(pc.binary_length(text), pa.int64())
-            step, tokens = 1024, []
-            for i in range(0, len(text), step):
-                tokens += count_texts(text.slice(i, step).to_pylist(), count, splits=splits)
+            tokens = []
+            for start, stop in byte_steps(text, 8 * BATCH_BYTES):
+                tokens += count_texts(text.slice(start, stop - start).to_pylist(), count, splits=splits)
             n = pa.array(tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
