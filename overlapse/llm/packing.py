@@ -1,17 +1,18 @@
 """Packing: hierarchical multi-length packing of documents into sequences.
 
-Documents are tokenised once. Their ids are dealt over blocks of a bounded number
-of documents, and each block is packed on its own: whole windows of long documents
-first, then every remainder is routed to the smallest context-size tier that holds
-it. Tiers are packed from the longest down; the gap that the longer pieces leave in
-a window is filled with the largest pieces of shorter tiers that fit, and the last
-gap with a part cut off one of them. What is left at the end of a block becomes
-sequences of power-of-two lengths. Sequences of a tier are dealt into step groups
-with even numbers of pieces.
+Documents are tokenised once. Whole windows of long documents are sequences at once, where
+they are. The remainders, each shorter than a window, are dealt over blocks of a bounded
+number of tokens, and each block is packed on its own: every remainder is routed to the
+smallest context-size tier that holds it. Tiers are packed from the longest down; the gap
+that the longer pieces leave in a window is filled with the largest pieces of shorter tiers
+that fit, and the last gap with a part cut off one of them. What is left when a tier can't
+fill a window is less than that window, and becomes sequences of power-of-two lengths.
+Sequences of a tier are dealt into step groups with even numbers of pieces.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -29,8 +30,10 @@ from overlapse.workspace import materialise
 
 LIMIT = 2048
 TIERS = (2048, 1024, 512, 256)
-#: Documents that are packed together, on average.
-BLOCK_DOCS = 2000
+#: Tokens that are packed together, on average.
+BLOCK_TOKENS = 1 << 20
+#: Added to the numbers of whole windows' sequences and step groups, which no block's reach.
+WHOLE = 1 << 61
 #: Sequences of one tier that make up a step.
 STEP = 8
 END_ID = 1
@@ -206,8 +209,9 @@ def step_groups(sequences: list[list[tuple[int, int, int]]], step: int = STEP) -
     return out
 
 
-def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, serial, ids): ids as little-endian unsigned 32-bit or, where all fit, 16-bit integers."""
+def encoded(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
+    """A row a whole window (doc_id, doc_tokens, start, serial, ids_crc32), and a row a remainder (doc_id, doc_tokens,
+    start, serial, size, ids): ids as little-endian unsigned 32-bit or, where all fit, 16-bit integers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +223,29 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 for a, b, ids, at in encode_texts(text.slice(first, last - first), encoder):
                     wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
                     data, size = ids.astype("<u4" if wide else "<u2").tobytes(), 4 if wide else 2
-                    rows = [data[x * size : y * size] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                    n = b - a
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + a, n), pa.array(np.arange(serial, serial + n)), pa.array([size] * n, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "serial", "size", "ids"])
+                    row, start, crc, rest = [], [], [], []
+                    for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                        whole = (y - x) // limit
+                        for k in range(whole):
+                            row.append(i)
+                            start.append(k * limit)
+                            crc.append(zlib.crc32(ids[x + k * limit : x + (k + 1) * limit].astype("<u4").tobytes()))
+                            rest.append(None)
+                        if (y - x) % limit:
+                            row.append(i)
+                            start.append(whole * limit)
+                            crc.append(None)
+                            rest.append(data[(x + whole * limit) * size : y * size])
+                    n = len(row)
+                    tokens = np.diff(at)[np.array(row, dtype=np.int64)] if n else np.zeros(0, dtype=np.int64)
+                    names = batch.column(0).slice(first + a, b - a).take(pa.array(row, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(tokens, pa.int64()), pa.array(start, pa.int64()), pa.array(np.arange(serial, serial + n)), pa.array([size] * n, pa.int32()), pa.array(crc, pa.int64()), pa.array(rest, pa.binary())], ["doc_id", "doc_tokens", "start", "serial", "size", "ids_crc32", "ids"])
                     serial += n
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, serial long, size int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, doc_tokens long, start long, serial long, size int, ids_crc32 long, ids binary")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     A null or empty text is its END_ID alone. Repeated rows and null ids are packed like any
@@ -236,11 +254,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, block_docs: int = BLOCK
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = materialise(encoded(docs, tokenizer_path), "packing-ids")
-    blocks = max(1, -(-table.count() // block_docs))
+    rest = table.filter("ids is not null")
+    tokens = rest.agg(F.sum(F.octet_length("ids") / F.col("size"))).head()[0] or 0
+    blocks = max(1, math.ceil(tokens / block_tokens))
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("serial")
         names, sizes, data = rows.column("doc_id"), rows.column("size").to_pylist(), rows.column("ids").to_pylist()
+        before, total = rows.column("start").to_pylist(), rows.column("doc_tokens").to_pylist()
         ids = [np.frombuffer(x, dtype=f"<u{n}") for x, n in zip(data, sizes, strict=True)]
         sequences = pack_block([len(x) for x in ids])
         groups = step_groups(sequences)
@@ -249,11 +270,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, block_docs: int = BLOCK
         for i, window in enumerate(sequences):
             offset = 0
             for d, start, n in window:
-                out.append((d, start, n, zlib.crc32(ids[d][start : start + n].astype("<u4").tobytes()), len(ids[d]), first + i, offset, groups[i][0], first + groups[i][1]))
+                out.append((d, before[d] + start, n, zlib.crc32(ids[d][start : start + n].astype("<u4").tobytes()), total[d], first + i, offset, groups[i][0], first + groups[i][1]))
                 offset += n
         cols = list(zip(*out, strict=True))
         longs = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
         return pa.table({"doc_id": names.take(pa.array(cols[0], pa.int64())), **{c: pa.array(v, pa.int64()) for c, v in zip(longs, cols[1:], strict=True)}})
 
-    dealt = table.withColumn("block", F.pmod(F.xxhash64("serial"), F.lit(blocks)).cast("long"))
-    return dealt.groupBy("block").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long")
+    dealt = rest.select("doc_id", "doc_tokens", "start", "serial", "size", "ids").withColumn("block", F.pmod(F.xxhash64("serial"), F.lit(blocks)).cast("long"))
+    packed = dealt.groupBy("block").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long")
+    limit = F.lit(LIMIT).cast("long")
+    whole = table.filter("ids is null").select("doc_id", "start", limit.alias("length"), "ids_crc32", "doc_tokens", (F.col("serial") + WHOLE).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), limit.alias("tier"), (F.floor(F.col("serial") / STEP) + WHOLE).alias("step_group"))
+    return packed.unionByName(whole)

@@ -406,7 +406,7 @@ def packed(spark, frame):
     from overlapse.llm.packing import pack_documents
 
     model, path = tokenizer("word_bpe_49k.json")
-    return model, pack_documents(frame, path, block_docs=50).collect()
+    return model, pack_documents(frame, path, block_tokens=40_000).collect()
 
 
 def check_packing(model, rows, texts):
