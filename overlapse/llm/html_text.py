@@ -6,7 +6,8 @@ belong to each. The ratio of text to tags is smoothed along the lines with a
 Gaussian kernel, a two-cluster threshold over the smoothed ratios separates
 dense regions from sparse ones, and the content region is chosen from them.
 What the markup itself declares to be no content (menus, forms, adverts ...)
-never becomes a line.
+never becomes a line. Names that content bears too (search, related, legal ...)
+only lower their lines' ratios: such a line stays where it is dense all the same.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ BLOCKS = frozenset("address article blockquote body center dd details dir div dl
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role attributes that mark no content.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|header|masthead|footer|side-?bar|aside|breadcrumbs?|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|social|share|sharing|related|recommend(?:ed|ations)?|comments?|comment-?list|disqus|respond|replies|pagination|pager|toolbar|widget|copyright|legal|search|contentinfo|complementary|dialog|alert)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|header|masthead|footer|side-?bar|aside|breadcrumbs?|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|comments?|comment-?list|disqus|respond|replies|pagination|pager|toolbar|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Words that mark content as well: a feature of the ratio.
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:social|share|sharing|related|recommend(?:ed|ations)?|widget|copyright|legal|search|dialog|alert)(?:$|[\s_-])", re.I)
+DOUBT = 0.25
 #: Those that mark an article container as none: a reader's comment may be an article of its own.
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies)|respond)(?:$|[\s_-])", re.I)
 #: Containers that the page itself declares to be the article.
@@ -43,24 +47,24 @@ SPACE = re.compile(r"\s+")
 
 
 class _Events(HTMLParser):
-    """Collects (text, n_tags, in_article, link_chars) lines."""
+    """Collects (text, tags, depth of containers, linked characters, block, whether its name is doubtful) lines."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, str]] = []
+        self.lines: list[tuple[str, int, int, int, str, bool]] = []
         self.parts: list[str] = []
         self.tags = self.links = self.linked = 0
         self.skip: list[str] = []
         self.hidden = 0  # article containers opened in what is skipped
         self.article = 0
-        self.open: list[tuple[str, bool]] = []  # block-level elements and whether each is an article container
+        self.doubts: list[str] = []  # elements of a doubtful name, and those of the same kind inside them
         self.kind = ""
 
     def end_block(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.article, self.linked, self.kind))
+                self.lines.append((text, self.tags, self.article, self.linked, self.kind, bool(self.doubts)))
                 self.tags = 0
             self.parts = []
         self.linked = 0
@@ -81,6 +85,10 @@ class _Events(HTMLParser):
             if tag not in VOID:
                 self.skip, self.hidden = [tag], 0
             return
+        doubtful = not self.doubts and tag in BLOCKS and any(n in ("class", "id", "role") and v and DOUBTFUL.search(v) for n, v in attrs)
+        if doubtful or (self.doubts and tag == self.doubts[0] and tag not in VOID):
+            self.end_block()
+            self.doubts.append(tag)
         if tag == "br":
             self.parts.append(" ")
         elif tag in BLOCKS:
@@ -116,6 +124,8 @@ class _Events(HTMLParser):
         if tag in BLOCKS or tag == "main":
             self.end_block()
             self.kind = ""
+            if self.doubts and (tag == self.doubts[0] or tag in ("article", "main", "body", "html")):
+                self.doubts = self.doubts[:-1] if tag == self.doubts[0] else []
         elif tag == "a":
             self.links = max(0, self.links - 1)
         if tag in ARTICLE:
@@ -130,9 +140,15 @@ class _Events(HTMLParser):
     def unknown_decl(self, data: str) -> None:
         pass
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Any ``<![...`` is skipped to its end, as browsers do: to ``]]>`` for character data, else to ``>``."""
+        end = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        j = self.rawdata.find(end, i)
+        return -1 if j < 0 else j + len(end)
+
 
-def page_lines(html: str) -> list[tuple[str, int, int, int, str]]:
-    """(text, tags since the line before, depth of article containers, characters in links, block)."""
+def page_lines(html: str) -> list[tuple[str, int, int, int, str, bool]]:
+    """(text, tags since the line before, depth of article containers, characters in links, block, doubtful name)."""
     parser = _Events()
     parser.feed(html)
     parser.close()
@@ -181,14 +197,18 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     chars = np.array([len(x[0]) for x in lines], dtype=float)
     tags = np.array([max(1, x[1]) for x in lines], dtype=float)
     linked = np.array([min(x[3], len(x[0])) for x in lines], dtype=float)
-    ratio = smooth(np.log1p((chars - linked) / tags), sigma)
-    dense = ratio >= two_means(ratio)
+    doubt = np.array([x[5] for x in lines])
+    alone = np.log1p((chars - linked) / tags * np.where(doubt, DOUBT, 1.0))
+    ratio = smooth(alone, sigma)
+    cut = two_means(ratio)
+    # a doubtful line isn't carried by its neighbours
+    dense = np.where(doubt, alone, ratio) >= cut
     inside = np.array([x[2] > 0 for x in lines])
     if inside.any() and (dense & inside).any() and chars[inside].sum() >= 0.25 * (chars - linked).sum():
-        listed = linked > 0.5 * chars
+        listed = (linked > 0.5 * chars) | (doubt & ~dense)
         heading = np.array([x[4] in ("h1", "h2", "h3") for x in lines])
         keep = inside & (~listed | heading)
-        own = dense & (np.log1p((chars - linked) / tags) >= two_means(ratio)) & ~listed
+        own = dense & (alone >= cut) & ~listed
         for run in np.split(np.arange(len(lines)), np.flatnonzero(np.diff(inside)) + 1):
             at = run[own[run]] if not inside[run[0]] else run[:0]
             if len(at):
@@ -198,17 +218,18 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
                 region = np.arange(first, at[-1] + 1)
                 keep[region] = ~listed[region] | heading[region]
         return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
-    at = np.flatnonzero(dense & (linked <= 0.5 * chars))
+    plain = (linked <= 0.5 * chars) & (~doubt | dense)
+    at = np.flatnonzero(dense & plain)
     if not len(at):
-        at = np.flatnonzero(linked <= 0.5 * chars)
+        at = np.flatnonzero(plain)
         if not len(at):
             return ""
     first, last = int(at[0]), int(at[-1])
     while first and lines[first - 1][4] in ("h1", "h2", "h3"):
         first -= 1
-    while last + 1 < len(lines) and lines[last + 1][4] in ("p", "li", "blockquote", "pre", "td") and linked[last + 1] <= 0.5 * chars[last + 1]:
+    while last + 1 < len(lines) and lines[last + 1][4] in ("p", "li", "blockquote", "pre", "td") and plain[last + 1]:
         last += 1
-    return "\n".join(lines[i][0] for i in range(first, last + 1) if linked[i] <= 0.5 * chars[i])
+    return "\n".join(lines[i][0] for i in range(first, last + 1) if plain[i])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

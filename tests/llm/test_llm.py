@@ -76,6 +76,48 @@ def test_html_without_article():
     assert main_text(page) == "\n".join(["Head", long.strip(), long.strip(), "Short."])
 
 
+def test_html_malformed():
+    """No page stops a job: declarations of any kind, and all printable garbage."""
+    from overlapse.llm.html_text import main_text
+
+    assert main_text("<article><p>ok</p><![foo[ bar ]]><p>fine</p></article>") == "ok\nfine"
+    rng = np.random.default_rng(1)
+    pieces = ["<![", "<!", "<!--", "-->", "]]>", "<?", "</", "<", ">", "&#", "&#x110000;", "&#xD800;", "&amp", ";", "<p", "<article", "<script>", "</script", "<![CDATA[", "<!DOCTYPE", "[", "\x00", "'", '"', "=", "/>", "<a href=", "class=search ", "text words here ", "\n"] + [chr(c) for c in range(32, 127)]
+    for _ in range(3000):
+        got = main_text("".join(pieces[int(k)] for k in rng.integers(0, len(pieces), int(rng.integers(1, 60)))))
+        assert isinstance(got, str)
+
+
+def test_html_doubtful_names():
+    from overlapse.llm.html_text import main_text
+
+    body = "A sentence of the article that is long enough to count as content, and then some more of it."
+    help_ = " ".join(["This help text explains at length how a search is made, which is what the page is about."] * 4)
+    page = f"<article><p>{body}</p><div class=search-help>{help_}</div><div class='share'>Tell friends</div><p>{body}</p></article>"
+    assert main_text(page) == f"{body}\n{help_}\n{body}"
+
+
+def test_html_by_density_alone(spark):
+    """The test pages without containers, names and menus' elements: regions are found by ratios, and only by them."""
+    from overlapse.llm import html_text
+
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").toPandas().html.dropna()
+    found, plain = [], 0
+    for page in rows:
+        want = html_text.main_text(page).split()
+        bare = re.sub(r"<(/?)(?:article|nav|footer|main|header|aside)[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+        got = html_text.main_text(bare).split()
+        both = sum((Counter(got) & Counter(want)).values())
+        found.append(2 * both / max(1, len(got) + len(want)))
+        every = html_text.two_means
+        try:
+            html_text.two_means = lambda x: -1.0
+            plain += html_text.main_text(bare).split() != got
+        finally:
+            html_text.two_means = every
+    assert np.mean(found) > 0.94 and plain > 0.5 * len(found)
+
+
 def test_html_odd(spark):
     from overlapse.llm.html_text import extract_pages
 
