@@ -26,8 +26,8 @@ PIVOTS = 24
 PIVOT_SAMPLE = 512
 #: Queries that are held by a task at once.
 BLOCK = 4096
-#: Candidates that are evaluated before the others of a batch; queries whose bounds are held at once.
-CHUNK, GROUP = 128, 64
+#: Candidates of a batch that a query looks at in its first round; how rounds grow; queries whose bounds are held at once.
+CHUNK, GROWTH, GROUP = 128, 4, 64
 #: Scores are whole numbers; bounds are raised by this much against rounding.
 SLACK = 0.25
 
@@ -79,36 +79,47 @@ def upper_bounds(q_pivot: np.ndarray, q_square: np.ndarray, x_pivot: np.ndarray,
     return (squares - lower**2) / 2 + (SLACK + 1e-5 * squares)
 
 
-def evaluate(tops: list, at: int, bound: np.ndarray, q: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> None:
-    """Candidates of the highest bounds first; then, in one product, those whose bounds reach the k-th best score."""
-    after = np.full(len(bound), -np.inf, dtype=np.float32)
-    for i, row in enumerate(bound):
-        score, top = tops[at + i]
-        first = np.argpartition(-row, CHUNK)[:CHUNK] if len(row) > CHUNK else np.arange(len(row))
-        if len(score) == k:
-            first = first[row[first] >= score[-1]]
-        first = first[row[first] > -np.inf]
-        if len(first):
-            score, top = best(np.concatenate((score, x[first] @ q[i])), np.concatenate((top, x_id[first])), k)
-            tops[at + i] = (score, top)
-        row[first] = -np.inf
-        if len(score) == k:
-            after[i] = score[-1]
-    left = (bound >= after[:, None]) & (bound > -np.inf)
-    cols = np.flatnonzero(left.any(axis=0))
-    if not len(cols):
-        return
-    found = q @ x[cols].T
-    for i in np.flatnonzero(left.any(axis=1)):
-        score, top = tops[at + i]
-        enter = np.flatnonzero(left[i, cols] & (found[i] >= after[i]))
-        if len(enter):
-            tops[at + i] = best(np.concatenate((score, found[i, enter])), np.concatenate((top, x_id[cols[enter]])), k)
-
-
-def exact_topk(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def evaluate(tops: list, at: int, bound: np.ndarray, q: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> np.ndarray:
+    """Candidates in the order of their bounds, in rounds that grow, until no bound left reaches the k-th best score.
+
+    A round's products are taken for all queries of the group at once, over the columns that any
+    of them asks for; what a query didn't ask for is not looked at. Returns how many candidates each query looked at.
+    """
+    seen = np.zeros(len(bound), dtype=np.int64)
+    going, size = np.arange(len(bound)), CHUNK
+    while len(going):
+        asked = np.zeros((len(going), len(x)), dtype=bool)
+        for i, row in enumerate(going):
+            left = bound[row]
+            score = tops[at + row][0]
+            reach = score[-1] if len(score) == k else -np.inf
+            first = np.argpartition(-left, size)[:size] if len(left) > size else np.arange(len(left))
+            first = first[(left[first] >= reach) & (left[first] > -np.inf)]
+            asked[i, first] = True
+            left[first] = -np.inf
+            seen[row] += len(first)
+        some = asked.any(axis=1)
+        cols = np.flatnonzero(asked.any(axis=0))
+        if not len(cols):
+            break
+        found = q[going] @ x[cols].T
+        for i in np.flatnonzero(some):
+            score, top = tops[at + going[i]]
+            mine = np.flatnonzero(asked[i, cols])
+            if len(score) == k:
+                mine = mine[found[i, mine] >= score[-1]]
+            if len(mine):
+                tops[at + going[i]] = best(np.concatenate((score, found[i, mine])), np.concatenate((top, x_id[cols[mine]])), k)
+        going = going[some]
+        size *= GROWTH
+    return seen
+
+
+def exact_topk(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20, block: int = BLOCK, pivots: int = PIVOTS, counted: bool = False) -> DataFrame:
     """Per query (vec_id divisible by ``every``): query_id, rank, vec_id, score of its k best candidates.
 
+    With ``counted``, also n_evaluated, the candidates whose products the query looked at.
+
     Components become floor(scale * x). Null ids, null vectors and vectors with null or
     non-finite components take no part. Vectors of different lengths are compared as
     if padded with zeros. Rows that share a vec_id are one candidate each, but none of
@@ -147,6 +158,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int
             ids, q = held.value
             q_pivot, q_square = pivot_distances(q, anchor).astype(np.float32), (q**2).sum(axis=1)
             tops = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
+            looked = np.zeros(len(ids), dtype=np.int64)
             for batch in batches:
                 x_id, x = batch.column(0).to_numpy(), matrix(batch.column(1), width)
                 x_pivot, x_square = matrix(batch.column(2), len(anchor)).astype(np.float32), (x**2).sum(axis=1)
@@ -157,17 +169,19 @@ def exact_topk(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int
                     group = slice(at, at + GROUP)
                     bound = upper_bounds(q_pivot[group], q_square[group], x_pivot, x_square)
                     bound[ids[group][:, None] == x_id[None, :]] = -np.inf
-                    evaluate(tops, at, bound, q_fast[group], x_fast, x_id, k)
+                    looked[group] += evaluate(tops, at, bound, q_fast[group], x_fast, x_id, k)
             sizes = [len(t[1]) for t in tops]
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([t[1] for t in tops])), pa.array(np.concatenate([t[0] for t in tops]).astype(np.int64))],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([t[1] for t in tops])), pa.array(np.concatenate([t[0] for t in tops]).astype(np.int64)), pa.array(np.concatenate([[n] + [0] * (s - 1) for n, s in zip(looked, sizes) if s]).astype(np.int64))],
+                    ["query_id", "vec_id", "score", "n_evaluated"],
                 )
 
-        table.mapInArrow(search, "query_id long, vec_id long, score long").write.mode("append").parquet(out)
+        table.mapInArrow(search, "query_id long, vec_id long, score long, n_evaluated long").write.mode("append").parquet(out)
         held.destroy()
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = spark.read.schema("query_id long, vec_id long, score long").parquet(out)
+    found = spark.read.schema("query_id long, vec_id long, score long, n_evaluated long").parquet(out)
+    if counted:  # a task's count stands in the first of its rows
+        found = found.withColumn("n_evaluated", F.sum("n_evaluated").over(W.partitionBy("query_id")))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *["n_evaluated"] * counted)

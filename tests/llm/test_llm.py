@@ -719,6 +719,23 @@ def test_exact_topk(spark):
             assert mine.vec_id.tolist() == ids[order].tolist() and mine.score.tolist() == score[order].astype(int).tolist()
 
 
+def test_exact_topk_eliminates(spark):
+    """Where vectors lie in groups, most candidates are never looked at; the results are those of all."""
+    from overlapse.llm.exact_topk import exact_topk
+
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(0, 6, (40, 8)), 50, axis=0) + rng.normal(0, 0.05, (2000, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(2)
+    got = exact_topk(rows, counted=True).toPandas()
+    whole = np.floor(64 * v)
+    for q, mine in got.groupby("query_id"):
+        score = whole @ whole[q]
+        order = np.lexsort((np.arange(2000), -score))
+        assert mine.sort_values("rank").vec_id.tolist() == order[order != q][:20].tolist()
+    assert got.groupby("query_id").n_evaluated.first().mean() < 0.3 * 1999
+
+
 def test_exact_topk_odd(spark):
     from overlapse.llm.exact_topk import exact_topk
 
