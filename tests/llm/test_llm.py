@@ -825,6 +825,83 @@ def test_pipeline_stages_take_odd_documents(spark):
         stage(spark, empty_docs(spark), SF).count()
 
 
+CLASHING = "_c0 string, _c1 long, _stats string, _fp long, _key string, _first string, _gone string, _twice string, _n long, _i long, _new string, fp long, k1 long, key string, component_id long, batch string, block int, serial long, held string, size string, h1 long, line string, copies long, tokens long, `a.b` string"
+
+
+def test_clashing_names(spark):
+    """Columns of the names that operators use inside are carried along, or not read."""
+    import corpus_pipeline
+    from overlapse.llm.katz import lm_scores
+    from overlapse.llm.line_dedup import line_verdicts
+    from overlapse.llm.mixing import mix_schedule
+    from overlapse.llm.packing import pack_documents
+    from overlapse.llm.quality_model import quality_scores
+    from overlapse.llm.quality_rules import quality_verdicts
+    from overlapse.llm.simhash import simhash_groups
+    from overlapse.llm.token_counts import token_counts
+
+    plain = docs(spark).filter("doc_id < 60").select("doc_id", "text", "lang", "source", "n_chars")
+    clashing = plain.selectExpr("*", *[f"CAST(doc_id AS {kind}) AS {name}" for name, kind in (x.rsplit(" ", 1) for x in CLASHING.split(", "))])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    paths = {n: tokenizer(n)[1] for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+    for f in (lm_scores, line_verdicts, quality_verdicts, simhash_groups, mix_schedule, lambda x: quality_scores(x, labels), lambda x: token_counts(x, paths["byte_bpe_50k.json"]), lambda x: pack_documents(x, paths["word_bpe_49k.json"]).select("doc_id", "start")):
+        a, b = (sorted(map(str, f(x).collect())) for x in (plain, clashing))
+        assert a == b and a
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, SF)
+        rows = out.collect()
+        assert out.columns == clashing.columns and all(r["a.b"] == r["_c0"] == str(r.doc_id) for r in rows)
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, plain, SF).collect())
+
+
+def test_forest_against_plain_trees():
+    """Flattened trees against a walk from node to node; splits lower the loss."""
+    from overlapse.llm.quality_model import fit
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    forest = fit(x, y, trees=30, depth=3)
+
+    def walk(row):
+        total = forest.bias
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            total += forest.value[node]
+        return 1 / (1 + math.exp(-total))
+
+    got = forest.predict(x)
+    assert got == pytest.approx([walk(r) for r in x], abs=1e-12) and ((got > 0.5) == (y > 0.5)).mean() > 0.95
+
+
+def test_large_group_of_near_copies(spark):
+    """A third of all rows, each a different near copy of one text: one row stays, without comparing all pairs."""
+    from overlapse.llm import simhash
+
+    rng = np.random.default_rng(21)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    base = [str(x) for x in rng.choice(vocab, 150)]
+    rows = []
+    for k in range(300):
+        words = list(base) if k % 3 == 0 else [str(x) for x in rng.choice(vocab, 150)]
+        if k % 3 == 0:
+            words[int(rng.integers(0, 150))] = f"own{k}"
+        rows.append((k, " ".join(words)))
+    compared, alike = [], simhash.alike
+
+    def counted(pairs, *a):
+        compared.append(pairs.count())
+        return alike(pairs, *a)
+
+    simhash.alike = counted
+    try:
+        kept = {r.doc_id for r in simhash.simhash_filter(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        simhash.alike = alike
+    assert kept == {0} | {k for k in range(300) if k % 3} and sum(compared) < 1000
+
+
 def test_one_query_an_operator():
     names = [k for k in Q.queries() if k.startswith("op")]
     assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
