@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from overlapse.config import TEXT, Config, DecideConfig
 from overlapse.functions import scalar
 from overlapse.operators import align, decide, graph, landmarks, quality, retrieval, skyline, timeline
+from overlapse.plans import engine
 from overlapse.plans import instances as on
 from overlapse.sources import catalog, files
 
@@ -523,6 +524,45 @@ def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a", "b", F.round(align.edge_weight(Config().align), 4).alias("weight"))
 
 
+# --- the whole run --------------------------------------------------------------------------
+
+
+def _run(spark: SparkSession, sf_dir: str) -> engine.Result:
+    """Customers as films of a minute, a mark a second in sound and picture; each order is a clip cut from its customer's."""
+    second = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("t")
+    films = on.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("cid"), F.col("c_custkey").alias("film"), F.lit(0).alias("start"), F.lit(60).alias("length"))
+    o = on.table(spark, sf_dir, "orders").join(on.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    clips = o.select(F.concat(F.lit("o"), "o_orderkey").alias("cid"), F.col("o_custkey").alias("film"), (F.col("o_orderkey") % 30).cast("int").alias("start"), (F.col("o_orderkey") % 15 + 12).cast("int").alias("length"))
+    every = films.unionByName(clips)
+    marks = every.select("cid", "film", "start", "length", second).filter("t >= start and t < start + length").select("cid", "film", "t", (F.col("t") - F.col("start")).cast("double").alias("at"))
+    meta = every.select(F.col("cid").alias("content_id"), F.col("length").cast("double").alias("declared_duration"), F.lit("h264").alias("vcodec"))
+    sound = every.select(F.col("cid").alias("content_id"), F.lit(True).alias("has_audio"), F.array().cast("array<struct<lang_tag:string,lang_detected:string>>").alias("tracks"))
+    scores = every.select(F.col("cid").alias("content_id"), F.lit(0.5).alias("q_composite"), F.lit(0.5).alias("q_audio"), F.lit(False).alias("terrible"))
+    primitives = engine.Primitives(
+        files=every.select(F.col("cid").alias("content_id"), F.col("length").alias("size_bytes")), stream_meta=meta, audio_meta=sound, quality=scores,
+        landmarks=marks.select("cid", F.lit(0).alias("track"), (F.col("film") * 64 + F.col("t")).alias("hash"), F.col("at").alias("t")),
+        descriptors=marks.select("cid", F.col("at").alias("t"), F.array().cast("array<float>").alias("vec"), F.xxhash64("film", F.col("t")).alias("phash")),
+    )
+    return engine.run(primitives, Config.load(overrides={"candidate": {"hamming_max": 2}}))
+
+
+CLIPS = "cl AS (SELECT 'c' || o_custkey AS film, 'o' || o_orderkey AS clip, (o_orderkey % 30)::DOUBLE AS s, (o_orderkey % 15 + 12)::DOUBLE AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))"
+
+
+@query(f"WITH {CLIPS} SELECT 'c' || c_custkey AS cluster, 'c' || c_custkey AS vid, 0.0 AS s, 60.0 AS e, 'keep' AS action, '' AS dominated_by FROM customer UNION ALL SELECT film, clip, s, s + n, 'prune', film FROM cl")
+def run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From primitives to decisions: every clip is placed on its film's time line and gives way to it."""
+    rows = _run(spark, sf_dir).decisions
+    return rows.select("cluster", "vid", *[(F.round(c, 2) + 0.0).alias(c) for c in ("s", "e")], "action", F.coalesce("dominated_by", F.lit("")).alias("dominated_by"))
+
+
+@query(f"WITH {CLIPS} SELECT film AS i, clip AS j, 0.0 - s AS beta, 'both' AS modality, n::BIGINT AS v_inliers, n::BIGINT AS a_inliers, n - 1 AS span_seconds FROM cl")
+def run_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's verdicts on films and clips; those between clips are left to its time lines."""
+    rows = _run(spark, sf_dir).verdicts.filter("accept and a like 'c%'")
+    return rows.select(F.col("a").alias("i"), F.col("b").alias("j"), (F.round("beta", 2) + 0.0).alias("beta"), "modality", "v_inliers", "a_inliers", "span_seconds")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

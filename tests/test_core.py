@@ -487,7 +487,7 @@ def test_entry_imports_without_llm(monkeypatch):
 
     def block(name, *a, **k):
         if name.startswith(("overlapse.llm", "corpus_pipeline")) or (name == "overlapse" and a[2:3] and "llm" in (a[2] or ())):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *a, **k)
 
     monkeypatch.setattr(builtins, "__import__", block)
@@ -495,3 +495,34 @@ def test_entry_imports_without_llm(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "candidate_pairs" in entry.queries() and not any(k.startswith("op") for k in entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_entry_shows_other_import_errors(monkeypatch):
+    """Only the absence of the subpackage or its pipeline is let pass."""
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def block(name, *a, **k):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("numpy", name="numpy")
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", block)
+    sys.modules.pop("__spark_entry__", None)
+    with pytest.raises(ModuleNotFoundError):
+        importlib.import_module("__spark_entry__")
+    sys.modules.pop("__spark_entry__", None)
+
+
+def test_heavy_hashes_are_dealt_over_parts(spark, monkeypatch):
+    """A hash that most files hold gives the same counts, in parts."""
+    rows = [(f"f{i:03d}", h, float(h)) for i in range(60) for h in ([7, 7, 8] if i % 2 else [7, i])]
+    marks = spark.createDataFrame(rows, "cid string, hash long, t double")
+    weights = retrieval.document_frequency(marks, 60)
+    want = {(r.a, r.b): (r.n, round(r.mass, 9)) for r in retrieval.grouped_collisions(marks, weights).collect()}
+    monkeypatch.setattr(retrieval, "FILES_A_PART", 7)
+    assert retrieval.salted(marks.join(weights, "hash")).filter("hash = 7").select("part").distinct().count() > 4
+    assert {(r.a, r.b): (r.n, round(r.mass, 9)) for r in retrieval.grouped_collisions(marks, weights).collect()} == want and len(want) == 60 * 59 // 2
