@@ -20,11 +20,8 @@ GROUNDED = ("both", "visual", "audio_variant")
 class VisionConfig:
     sample_fps: float = 1.0
     embed_size: int = 288
-    phash_size: int = 8
-    embed_dim: int = 512
     entropy_min: float = 2.0
     edge_density_min: float = 0.01
-    cropdetect_frames: int = 30
     coarse_frames: int = 24
     flip_augment: bool = False
 
@@ -116,16 +113,12 @@ class DecideConfig:
     rule6_quality_margin: float | None = None
     set_cover_pass: bool = False
     audio_variant_keep_both: bool = True
-    use_lid: bool = False
 
 
 @dataclass(frozen=True)
 class ActionConfig:
-    mode: str = "dry-run"
     quarantine_dir: str = "quarantine"
     quarantine_ttl_days: int = 30
-    auto_approve_confidence: float | None = None
-    thin_margin: float = 0.05
 
 
 @dataclass(frozen=True)

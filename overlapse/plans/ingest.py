@@ -62,7 +62,7 @@ def ingest(lib: Library, found: DataFrame) -> DataFrame:
     probed = materialise(fresh.join(lib.decoder.probe(fresh), "path"), "ingest-probed")
     good = files.parse_probe(probed.filter("probe_json is not null"))
     named = good.select(F.col("path").alias("cid"), "path")
-    shown = media.picture_measures(lib.decoder.keyframes(named)).select(F.col("cid").alias("path"), "crop", "frame_id")
+    shown = media.picture_measures(lib.decoder.keyframes(named), lib.cfg).select(F.col("cid").alias("path"), "crop", "frame_id")
     own = F.concat(F.lit("stat-"), F.sha2(F.concat_ws(":", "path", F.col("size_bytes").cast("string")), 256).substr(1, 32))
     rows = good.join(shown, "path", "left").withColumn("content_id", F.coalesce("frame_id", own))
     crop = F.from_json("crop", "array<int>")
@@ -123,7 +123,7 @@ def score(lib: Library, rows: DataFrame) -> None:
     todo = materialise(rows.join(c.read("quality").select(F.col("content_id").alias("cid")), "cid", "left_anti"), "todo-quality")
     if not todo.head(1):
         return
-    seen = media.picture_measures(lib.decoder.sparse(todo.withColumn("times", scalar.even_times(F.col("seconds"), MEASURED))))
+    seen = media.picture_measures(lib.decoder.sparse(todo.withColumn("times", scalar.even_times(F.col("seconds"), MEASURED))), lib.cfg)
     heard = media.audio_measures(lib.decoder.audio(todo.filter("has_audio"), measured=True))
     track = F.get("tracks", F.lit(0))
     sound = c.read("audio_meta").select(F.col("content_id").alias("cid"), track["channels"].alias("channels"), track["audio_bitrate"].alias("audio_bitrate"), track["acodec"].alias("acodec"))

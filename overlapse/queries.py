@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from overlapse.config import TEXT, Config, DecideConfig
-from overlapse.functions import scalar
+from overlapse.config import TEXT, AlignConfig, Config, DecideConfig
+from overlapse.functions import scalar, text
 from overlapse.operators import align, decide, graph, landmarks, quality, retrieval, skyline, timeline
 from overlapse.plans import engine
 from overlapse.plans import instances as on
@@ -206,6 +206,17 @@ def offset_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.select("a", "b", "channel", (F.round("alpha", 5) + 0.0).alias("alpha"), (F.round("beta", 3) + 0.0).alias("beta"), "n", "a_n", "span", F.round("rstd", 4).alias("rstd"))
 
 
+@query("SELECT p_partkey AS a, round(0.965 + (p_partkey % 15) * 0.005, 4) AS alpha, (p_partkey % 30)::DOUBLE AS beta, 40 AS n FROM part")
+def time_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pairs of items that run at different speeds, found on a grid of scales."""
+    alpha, beta = F.lit(0.965) + (F.col("p_partkey") % 15) * 0.005, (F.col("p_partkey") % 30).cast("double")
+    rows = on.table(spark, sf_dir, "part").select("p_partkey", alpha.alias("alpha"), beta.alias("beta"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    ta = F.col("k") * 3.0
+    met = rows.select(F.col("p_partkey").alias("a"), F.lit("z").alias("b"), ta.alias("ta"), (F.col("alpha") * ta + F.col("beta")).alias("tb"), F.lit(1.0).alias("w"), F.lit(True).alias("is_audio"))
+    fits = align.fit_offset(align.channels(met), AlignConfig(scale_search=True)).filter("channel = 'fused'")
+    return fits.select("a", F.round("alpha", 4).alias("alpha"), (F.round("beta", 3) + 0.0).alias("beta"), F.col("n").cast("int").alias("n"))
+
+
 GATE = "coalesce({c}.n >= 6 AND {c}.span >= 10 AND {c}.rstd <= 1.5, false)"
 DECISIONS = f"{FIT}, pr AS (SELECT DISTINCT a, b FROM fits), dc AS (SELECT pr.a, pr.b, {GATE.format(c='v')} AS vg, {GATE.format(c='u')} AS ag, v.beta AS vb, u.beta AS ub, coalesce(v.n, 0) AS vn, coalesce(u.n, 0) AS an, f.n AS fn, f.span AS fs, f.rstd AS fr, v.span AS v_s, v.rstd AS v_r, u.span AS u_s, u.rstd AS u_r FROM pr LEFT JOIN fits f ON f.a = pr.a AND f.b = pr.b AND f.channel = 'fused' LEFT JOIN fits v ON v.a = pr.a AND v.b = pr.b AND v.channel = 'visual' LEFT JOIN fits u ON u.a = pr.a AND u.b = pr.b AND u.channel = 'audio')"
 
@@ -308,6 +319,15 @@ def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skyline.prune(on.event_segments(spark, sf_dir), DecideConfig(set_cover_pass=True)).select("cluster", "vid", "action", "dominated_by")
 
 
+@query("WITH s AS (SELECT c_custkey AS c, 50 + c_custkey % 20 AS x FROM customer) SELECT c::VARCHAR AS cluster, vid, CASE WHEN vid = 'mid' AND x <= 60 THEN 'prune' ELSE 'keep' END AS action FROM s, (SELECT unnest(['a', 'b', 'mid']) AS vid)")
+def set_cover_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segments a customer: the worst one lies across the other two, which meet or leave a gap."""
+    c = on.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cluster"), (F.col("c_custkey") % 20 + 50).cast("double").alias("x"))
+    each = F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(v).alias("vid"), s.cast("double").alias("s"), F.lit(float(e)).alias("e"), F.lit(q).alias("quality")) for k, (v, s, e, q) in enumerate((("a", F.lit(0), 60, 0.9), ("b", F.col("x"), 120, 0.9), ("mid", F.lit(30), 90, 0.2)))])
+    rows = c.select("cluster", F.explode(each).alias("m")).select("cluster", "m.*", F.lit(False).alias("terrible"), F.lit(0.0).alias("audio_quality"), F.lit("").alias("lang"), F.lit(0).alias("codec_rank"), F.lit(0).cast("bigint").alias("size_bytes"))
+    return skyline.prune(rows, DecideConfig(set_cover_pass=True)).select("cluster", "vid", "action")
+
+
 @query("WITH x AS (SELECT l_suppkey AS cluster, epoch_us(l_shipdate) / 86400000000 AS s, epoch_us(l_shipdate) / 86400000000 + l_quantity AS e FROM lineitem), y AS (SELECT *, max(e) OVER (PARTITION BY cluster ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x) SELECT DISTINCT cluster, reach AS gap_start, s AS gap_end FROM y WHERE s > reach")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', l_shipdate)") / 86400000000
@@ -320,10 +340,8 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, round(h, 6) AS entropy FROM (SELECT doc_id, -sum(k / n * log2(k / n)) AS h FROM (SELECT doc_id, c, count(*)::DOUBLE AS k, sum(count(*)) OVER (PARTITION BY doc_id)::DOUBLE AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY doc_id, c) GROUP BY doc_id) WHERE h >= 2.0")
 def text_entropy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents informative enough: entropy of their characters, counted before the shuffle."""
-    chars = on.table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.explode(F.split("text", "")).alias("c"))
-    counts = chars.groupBy("doc_id", "c").agg(F.count("*").alias("k"))
-    found = counts.groupBy("doc_id").agg(scalar.entropy(F.sort_array(F.collect_list(F.col("k").cast("double")))).alias("entropy"))
+    """Documents informative enough: the entropy of their characters, where the texts are."""
+    found = text.char_entropy(on.table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", "text"))
     return found.filter(F.col("entropy") >= Config().vision.entropy_min).select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 

@@ -248,7 +248,7 @@ def descriptors(frames: DataFrame, cfg: Config, embed: Callable[[np.ndarray], np
 SAMPLED = 64
 
 
-def picture_measures(frames: DataFrame) -> DataFrame:
+def picture_measures(frames: DataFrame, cfg: Config) -> DataFrame:
     """(cid, detail, blockiness, banding, crop, frame_id) of each file's frames, those of its commonest size.
 
     All frames of a file are one group: sparse decoding and key frames bound them.
@@ -259,7 +259,7 @@ def picture_measures(frames: DataFrame) -> DataFrame:
         x = gray(max((p for _, p in pictures(rows)), key=len))
         crop = image.active_crop(x)
         some = x if len(x) <= SAMPLED else x[np.rint(np.linspace(0, len(x) - 1, SAMPLED)).astype(int)]
-        return pa.table({"cid": [rows.column("cid")[0].as_py()], "detail": [float(image.detail(some))], "blockiness": [float(image.blockiness(some))], "banding": [float(image.banding(some))], "crop": pa.array([json.dumps(crop) if crop else None], pa.string()), "frame_id": [image.content_id(x)]})
+        return pa.table({"cid": [rows.column("cid")[0].as_py()], "detail": [float(image.detail(some, cfg.quality.reff_detail_band))], "blockiness": [float(image.blockiness(some))], "banding": [float(image.banding(some))], "crop": pa.array([json.dumps(crop) if crop else None], pa.string()), "frame_id": [image.content_id(x)]})
 
     return frames.groupBy("cid").applyInArrow(run, "cid string, detail double, blockiness double, banding double, crop string, frame_id string")
 

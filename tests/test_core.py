@@ -261,7 +261,7 @@ def test_media_tables(spark):
     rng = np.random.default_rng(3)
     rows = [("f", float(t), 32, 32, rng.integers(0, 255, (32, 32)).astype(np.uint8).tobytes()) for t in range(3)]
     frames = spark.createDataFrame(rows, media.FRAMES)
-    assert media.frame_features(frames, Config()).filter("informative").count() == 3 and media.picture_measures(frames).count() == 1
+    assert media.frame_features(frames, Config()).filter("informative").count() == 3 and media.picture_measures(frames, Config()).count() == 1
     audio = spark.createDataFrame([("f", 0, 16000, rng.normal(size=32000).astype("<f4").tobytes())], media.AUDIO)
     assert media.audio_measures(audio).head().bw > 6000 and media.audio_landmarks(audio, Config()).count() >= 0
     assert media.detected_languages(audio, lambda x, sr: "en").head().lang == "en" and media.detected_languages(audio, None).head().lang is None
