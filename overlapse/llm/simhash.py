@@ -9,8 +9,10 @@ equi-join with the segments of all fingerprints, and full distances verified.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -102,32 +104,36 @@ def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text", keep_t
     return docs.mapInArrow(trimmed(run), docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("_fp", T.LongType()))
 
 
-def segments(distance: int) -> list[tuple[int, int, int]]:
+#: Distinct fingerprints beyond which segments are wider and balls larger: by chance a probe else meets too many.
+WIDE = 100_000_000
+
+
+def segments(distance: int, rows: int = 0) -> list[tuple[int, int, int]]:
     """(first bit, width, radius) of segments whose radii plus one add up to distance + 1."""
-    count = max(2, (distance + 2) // 2)
+    count = max(2, (distance + (3 if rows > WIDE else 2)) // (3 if rows > WIDE else 2))
     cuts = [64 * i // count for i in range(count + 1)]
-    radii = [1] * count
-    spare = min(count, 2 * count - (distance + 1))
-    for i in range(spare):
-        radii[-1 - i] = 0
-    return [(cuts[i], cuts[i + 1] - cuts[i], radii[i]) for i in range(count)]
+    radii = [(distance + 1) // count + (i < (distance + 1) % count) - 1 for i in range(count)]
+    return [(cuts[i], cuts[i + 1] - cuts[i], radii[i]) for i in range(count) if radii[i] >= 0]
 
 
-def segment_keys(fp: Column, distance: int) -> tuple[Column, Column]:
+def segment_keys(fp: Column, distance: int, rows: int = 0) -> tuple[Column, Column]:
     """(index, probe): arrays of a fingerprint's segments, and of all in their Hamming balls."""
     index, probe = [], []
-    for k, (at, width, radius) in enumerate(segments(distance)):
+    for k, (at, width, radius) in enumerate(segments(distance, rows)):
         tagged = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(k << 40))
         index.append(tagged)
-        probe.append(tagged)
-        if radius:
-            probe += [tagged.bitwiseXOR(F.lit(1 << i)) for i in range(width)]
-    return F.array(*index), F.array(*probe)
+        flips = [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+        if len(flips) <= 64:
+            probe.append(F.array(*[tagged.bitwiseXOR(F.lit(x)) for x in flips]))
+        else:
+            every = F.from_json(F.lit(json.dumps(flips)), "array<bigint>")
+            probe.append(F.transform(every, lambda x: tagged.bitwiseXOR(x)))  # noqa: B023
+    return F.array(*index), F.concat(*probe)
 
 
-def links(distinct: DataFrame, distance: int) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints (column fp) within ``distance`` bits."""
-    index, probe = segment_keys(F.col("fp"), distance)
+def links(distinct: DataFrame, distance: int, rows: int = 0) -> DataFrame:
+    """(a, b), a < b: all pairs of distinct fingerprints (column fp), ``rows`` of them about, within ``distance`` bits."""
+    index, probe = segment_keys(F.col("fp"), distance, rows)
     left = distinct.select(F.col("fp").alias("a"), F.explode(probe).alias("key"))
     right = distinct.select(F.col("fp").alias("b"), F.explode(index).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
@@ -141,7 +147,7 @@ def components(table: DataFrame, distance: int) -> DataFrame:
     never become a component's id unless a component has no other.
     """
     distinct = materialise(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    edges = materialise(links(distinct, distance), "simhash-links")
+    edges = materialise(links(distinct, distance, distinct.count()), "simhash-links")
     found = connected_components(edges)
     grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -281,7 +287,7 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
 def table_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs that meet in the tables of segments: each text with the first of the texts that a segment, or one in its
     small Hamming ball, leads to. So a group of n copies makes n pairs a segment, not their square."""
-    index, probe = segment_keys(F.col("fp"), NEAR)
+    index, probe = segment_keys(F.col("fp"), NEAR, nodes.count())
     firsts = nodes.select("k1", "fp", "n", F.explode(index).alias("key")).groupBy("key").agg(F.min(F.struct("k1", "fp", "n")).alias("to"))
     probes = nodes.select("k1", "fp", "n", F.explode(probe).alias("key"))
     size = F.least("n", "to.n") >= SIMILARITY * F.greatest("n", "to.n")

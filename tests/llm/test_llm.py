@@ -552,9 +552,11 @@ def test_simhash_groups(spark):
     assert [least[g] for g in group] == got.component_id.tolist()
 
 
-@pytest.mark.parametrize("distance", [1, 2, 3, 4, 5, 7])
-def test_simhash_links_are_complete(spark, distance):
-    from overlapse.llm.simhash import links
+@pytest.mark.parametrize(("distance", "rows"), [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (7, 0), (4, 10**9), (7, 10**9)])
+def test_simhash_links_are_complete(spark, distance, rows):
+    from overlapse.llm.simhash import links, segments
+
+    assert sum(r + 1 for _, _, r in segments(distance, rows)) == distance + 1 and sum(w for _, w, _ in segments(distance, rows)) == 64
 
     rng = np.random.default_rng(distance)
     fps = {0}
@@ -565,7 +567,7 @@ def test_simhash_links_are_complete(spark, distance):
             fps.add(base ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(1, 9))}))
     fps = [int(np.uint64(x).astype(np.int64)) for x in fps]
     want = {(min(a, b), max(a, b)) for a in fps for b in fps if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
-    assert {(r.a, r.b) for r in links(spark.createDataFrame([(x,) for x in fps], "fp long"), distance).collect()} == want
+    assert {(r.a, r.b) for r in links(spark.createDataFrame([(x,) for x in fps], "fp long"), distance, rows).collect()} == want
 
 
 def test_near_copies_are_found(spark):
