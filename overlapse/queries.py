@@ -111,9 +111,11 @@ def edge_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).join(bad, "b", "left_anti").distinct().select("a", "b")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT doc_id AS path, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def keep_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return on.table(spark, sf_dir, "customer").select("c_custkey").subtract(on.table(spark, sf_dir, "orders").select("o_custkey"))
+    """Known files that a scan no longer finds; labelled documents stand for what is found."""
+    known = on.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "n_chars")
+    return files.gone(known, on.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))).select("path", "n_chars")
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,12 +284,14 @@ STARS = "st AS (SELECT o_custkey AS c, o_orderkey AS o, 1.0 + o_orderkey % 100 A
 
 
 def _stars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Customers as references of 1000 seconds, each order placed against its customer twice, alike: solved exactly."""
+    """Customers as references of 1000 seconds, each order placed against its customer twice, alike; a faint third edge
+    of every fifth order contradicts them and is dropped."""
     o = on.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("c"), F.concat(F.lit("o"), "o_orderkey").alias("o"), (F.lit(1.0) + F.col("o_orderkey") % 100).alias("len"), (F.col("o_totalprice") % 50).alias("beta"), "o_orderkey")
     edges = o.select(F.col("o_orderkey").alias("edge_id"), F.col("c").alias("i"), F.col("o").alias("j"), "beta", F.lit(2.0).alias("weight"))
     back = o.select((-F.col("o_orderkey")).alias("edge_id"), F.col("o").alias("i"), F.col("c").alias("j"), (-F.col("beta")).alias("beta"), F.lit(3.0).alias("weight"))
+    wrong = o.filter("o_orderkey % 5 = 0").select((F.col("o_orderkey") + 1_000_000_000_000).alias("edge_id"), F.col("c").alias("i"), F.col("o").alias("j"), (F.col("beta") + 100).alias("beta"), F.lit(1e-4).alias("weight"))
     extents = o.select(F.col("c").alias("node"), F.lit(0.0).alias("tmin"), F.lit(1000.0).alias("tmax")).distinct().unionByName(o.select(F.col("o").alias("node"), F.lit(0.0).alias("tmin"), F.col("len").alias("tmax")))
-    return timeline.checked_solve(edges.unionByName(back), extents, TEXT.align.cycle_residual_tol)
+    return timeline.checked_solve(edges.unionByName(back).unionByName(wrong), extents, TEXT.align.cycle_residual_tol)
 
 
 @query(f"WITH {STARS} SELECT cluster, node, round(s, 4) + 0.0 AS s, round(e, 4) + 0.0 AS e, reference FROM pl")
@@ -545,29 +549,44 @@ def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the whole run --------------------------------------------------------------------------
 
 
-def _run(spark: SparkSession, sf_dir: str) -> engine.Result:
-    """Customers as films of a minute, a mark a second in sound and picture; each order is a clip cut from its customer's."""
+def _clips(spark: SparkSession, sf_dir: str) -> engine.Primitives:
+    """Customers and suppliers as films of a minute, a mark a second in sound and picture; each order is a clip cut from
+    its customer's."""
     second = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("t")
     films = on.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("cid"), F.col("c_custkey").alias("film"), F.lit(0).alias("start"), F.lit(60).alias("length"))
+    others = on.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("cid"), (F.col("s_suppkey") + 1_000_000_000_000).alias("film"), F.lit(0).alias("start"), F.lit(60).alias("length"))
     o = on.table(spark, sf_dir, "orders").join(on.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
     clips = o.select(F.concat(F.lit("o"), "o_orderkey").alias("cid"), F.col("o_custkey").alias("film"), (F.col("o_orderkey") % 30).cast("int").alias("start"), (F.col("o_orderkey") % 15 + 12).cast("int").alias("length"))
-    every = films.unionByName(clips)
+    every = films.unionByName(others).unionByName(clips)
     marks = every.select("cid", "film", "start", "length", second).filter("t >= start and t < start + length").select("cid", "film", "t", (F.col("t") - F.col("start")).cast("double").alias("at"))
     meta = every.select(F.col("cid").alias("content_id"), F.col("length").cast("double").alias("declared_duration"), F.lit("h264").alias("vcodec"))
     sound = every.select(F.col("cid").alias("content_id"), F.lit(True).alias("has_audio"), F.array().cast("array<struct<lang_tag:string,lang_detected:string>>").alias("tracks"))
     scores = every.select(F.col("cid").alias("content_id"), F.lit(0.5).alias("q_composite"), F.lit(0.5).alias("q_audio"), F.lit(False).alias("terrible"))
-    primitives = engine.Primitives(
+    return engine.Primitives(
         files=every.select(F.col("cid").alias("content_id"), F.col("length").alias("size_bytes")), stream_meta=meta, audio_meta=sound, quality=scores,
         landmarks=marks.select("cid", F.lit(0).alias("track"), (F.col("film") * 64 + F.col("t")).alias("hash"), F.col("at").alias("t")),
         descriptors=marks.select("cid", F.col("at").alias("t"), F.array().cast("array<float>").alias("vec"), F.xxhash64("film", F.col("t")).alias("phash")),
     )
-    return engine.run(primitives, Config.load(overrides={"candidate": {"hamming_max": 2}}))
+
+
+CLIP_CONFIG = Config.load(overrides={"candidate": {"hamming_max": 2}})
+
+
+def _run(spark: SparkSession, sf_dir: str) -> engine.Result:
+    return engine.run(_clips(spark, sf_dir), CLIP_CONFIG)
 
 
 CLIPS = "cl AS (SELECT 'c' || o_custkey AS film, 'o' || o_orderkey AS clip, (o_orderkey % 30)::DOUBLE AS s, (o_orderkey % 15 + 12)::DOUBLE AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))"
 
 
-@query(f"WITH {CLIPS} SELECT 'c' || c_custkey AS cluster, 'c' || c_custkey AS vid, 0.0 AS s, 60.0 AS e, 'keep' AS action, '' AS dominated_by FROM customer UNION ALL SELECT film, clip, s, s + n, 'prune', film FROM cl")
+@query(f"WITH {CLIPS} SELECT film AS cid FROM cl UNION SELECT clip FROM cl")
+def run_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the cheap pass finds worth a dense one: clips, and films with a clip."""
+    p = _clips(spark, sf_dir)
+    return engine.active_files(p.landmarks, p.descriptors, p.files, CLIP_CONFIG)
+
+
+@query(f"WITH {CLIPS} SELECT 'c' || c_custkey AS cluster, 'c' || c_custkey AS vid, 0.0 AS s, 60.0 AS e, 'keep' AS action, '' AS dominated_by FROM customer UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey, 0.0, 60.0, 'keep', '' FROM supplier UNION ALL SELECT film, clip, s, s + n, 'prune', film FROM cl")
 def run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From primitives to decisions: every clip is placed on its film's time line and gives way to it."""
     rows = _run(spark, sf_dir).decisions

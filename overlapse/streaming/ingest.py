@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from overlapse.schemas import schema_of
 from overlapse.sources.catalog import Catalog
 from overlapse.sources.files import exact_duplicates, known_paths
+from overlapse.workspace import materialise, remove
 
 
 def ingest_stream(spark: SparkSession, arrivals: DataFrame, root: str, checkpoint: str, identify: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
@@ -23,11 +24,11 @@ def ingest_stream(spark: SparkSession, arrivals: DataFrame, root: str, checkpoin
     def step(batch: DataFrame, _: int) -> None:
         catalog = Catalog(batch.sparkSession, root)
         fresh = batch.join(known_paths(catalog.read("file"), catalog.read("dup_path")), "path", "left_anti")
-        marked = exact_duplicates(identify(fresh), catalog.read("file")).persist()
+        marked = materialise(exact_duplicates(identify(fresh), catalog.read("file")), "arrivals")
         try:
             catalog.insert_absent("dup_path", marked.filter("status = 'duplicate'"))
             catalog.upsert("file", marked.filter("status = 'new'").select(*schema_of("file").names))
         finally:
-            marked.unpersist()
+            remove(marked)
 
     return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
