@@ -180,6 +180,8 @@ NEAR, FAR = 4, 18
 DRAWN, COMMON, COMMON_MOST = 16, 3, 100_000
 #: Nodes' names and keys that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_NODES, BROADCAST_KEYS = 200_000, 400_000
+#: Bits of a text's map of its shingles, and the long integers that hold them.
+MAP_BITS, MAP_LONGS = 2048, 32
 #: While pairs to compare would be more than so many a row, texts are compared with one of each key's texts only.
 PAIRS_A_ROW = 4
 
@@ -222,8 +224,8 @@ def text_key(text: str = "text") -> Column:
 
 
 def with_signature(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, t, k1, k2, fp, n, prefix): its text's key, a row's name by its words, its fingerprint, its distinct
-    shingles' number, and the first of its shingles."""
+    """(doc_id, t, k1, k2, fp, n, prefix, bits): its text's key, a row's name by its words, its fingerprint, its distinct
+    shingles' number, the first of its shingles, and a map of them all: a bit is set where a shingle's hash begins so."""
     common = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +237,14 @@ def with_signature(docs: DataFrame, width: int) -> DataFrame:
                 least = [prefix(x, common).view(np.int64) for x in sets]
                 heads = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, least)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *least])))
                 fp = pack_bits(2 * bit_sums(hashes, first) > np.diff(first)[:, None])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), heads], ["doc_id", "t", "k1", "k2", "fp", "n", "prefix"])
+                maps = np.zeros((len(sets), MAP_BITS), dtype=np.uint8)
+                maps[np.repeat(np.arange(len(sets)), np.diff(first)), (hashes >> np.uint64(53)).astype(np.int64)] = 1
+                maps = np.packbits(maps, axis=1).view(np.int64)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, maps.size + 1, MAP_LONGS), pa.int32()), pa.array(maps.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), heads, bits], ["doc_id", "t", "k1", "k2", "fp", "n", "prefix", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("t"), "text").mapInArrow(trimmed(run), f"doc_id {kind}, t long, k1 long, k2 long, fp long, n long, prefix array<long>")
+    return docs.select("doc_id", text_key().alias("t"), "text").mapInArrow(trimmed(run), f"doc_id {kind}, t long, k1 long, k2 long, fp long, n long, prefix array<long>, bits array<long>")
 
 
 def names_of(norm: list[bytes]) -> np.ndarray:
@@ -263,7 +269,19 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of names whose shingle sets have SIMILARITY or more, written; ``pairs`` is removed."""
+    """The pairs (a, b) of names whose shingle sets have SIMILARITY or more, written; ``pairs`` is removed.
+
+    A bit that one text's map alone has set stands for a shingle that the other lacks: pairs for which
+    too many lack are left out before any shingles are fetched.
+    """
+    a, b = (nodes.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")) for x in "ab")
+    only_a, only_b = (F.expr(" + ".join(f"bit_count(m{x}[{i}] & ~m{y}[{i}])" for i in range(MAP_LONGS))) for x, y in ("ab", "ba"))
+    shared = F.least(F.col("na") - only_a, F.col("nb") - only_b)
+    may = pairs.join(a, "a").join(b, "b").filter(shared + 1e-6 >= SIMILARITY / (1 + SIMILARITY) * (F.col("na") + F.col("nb")))
+    some = materialise(may.select("a", "b"), "simhash-pairs")
+    remove(pairs)
+    release(some)
+    pairs = some
     ids = materialise(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "simhash-ids")
     few = ids.count() <= BROADCAST_NODES
     # texts of nodes that are in a pair, found by their first row's id and text
@@ -368,7 +386,7 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     All pairs are compared by their shingles, so that every link is one of SIMILARITY or more.
     """
     table = materialise(with_signature(docs, width), "simhash-signatures")
-    nodes = table.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = table.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     nodes = materialise(nodes, "simhash-nodes")
     rows = materialise(table.select("doc_id", "t", "k1"), "simhash-rows")
     remove(table)
