@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from overlapse.workspace import materialise, new_path
+from overlapse.workspace import materialise, new_path, remove
 
 PIVOTS = 24
 #: Vectors, about, among which the pivots are chosen; every vector gets its distances to all of them.
@@ -179,6 +179,8 @@ def exact_topk(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int
 
         table.mapInArrow(search, "query_id long, vec_id long, score long, n_evaluated long").write.mode("append").parquet(out)
         held.destroy()
+    for done in (ints, table, queries):
+        remove(done)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = spark.read.schema("query_id long, vec_id long, score long, n_evaluated long").parquet(out)
     if counted:  # a task's count stands in the first of its rows
