@@ -85,23 +85,28 @@ def banding(frames: np.ndarray) -> float:
     return float(np.median((steps == 0).sum(axis=(1, 2)) / ((steps < 4).sum(axis=(1, 2)) + 1e-6)))
 
 
+def _lit(profile: np.ndarray, dark: int) -> slice:
+    """From the first to the last place of a brightness profile that is above ``dark``."""
+    above = profile > dark
+    return slice(int(above.argmax()), len(above) - int(above[::-1].argmax())) if above.any() else slice(0, 0)
+
+
 def active_crop(frames: np.ndarray, dark: int = 24, least_bar: float = 0.02) -> tuple[int, int, int, int] | None:
-    """(w, h, x, y) inside black bars, with even sizes; None without bars worth cropping."""
+    """(w, h, x, y) inside black bars, with even sizes; None without bars worth cropping.
+
+    A row or column belongs to a bar if no frame ever lights it. One bar of ``least_bar`` of the
+    picture's height or width is enough to crop all of them.
+    """
     if not len(frames):
         return None
-    bright = frames.max(axis=0) > dark
-    height, width = bright.shape
-    spans = []
-    for axis, n in ((1, height), (0, width)):
-        on = np.flatnonzero(bright.any(axis=axis))
-        if not len(on):
-            return None
-        spans.append((int(on[0]), int(on[-1]) + 1, n))
-    if all(a < n * least_bar and n - b < n * least_bar for a, b, n in spans):
+    brightest = frames.max(axis=0)
+    tall, wide = brightest.shape
+    rows, cols = _lit(brightest.max(axis=1), dark), _lit(brightest.max(axis=0), dark)
+    bars = (rows.start / tall, 1 - rows.stop / tall, cols.start / wide, 1 - cols.stop / wide)
+    w, h = ((x.stop - x.start) & ~1 for x in (cols, rows))
+    if not w or not h or max(bars) < least_bar or (w, h) == (wide, tall):
         return None
-    (y0, y1, _), (x0, x1, _) = spans
-    w, h = (x1 - x0) // 2 * 2, (y1 - y0) // 2 * 2
-    return None if w <= 0 or h <= 0 or (w, h) == (width, height) else (w, h, x0, y0)
+    return w, h, cols.start, rows.start
 
 
 def content_id(frames: np.ndarray, samples: int = 16) -> str:
