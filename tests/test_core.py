@@ -526,3 +526,21 @@ def test_heavy_hashes_are_dealt_over_parts(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "FILES_A_PART", 7)
     assert retrieval.salted(marks.join(weights, "hash")).filter("hash = 7").select("part").distinct().count() > 4
     assert {(r.a, r.b): (r.n, round(r.mass, 9)) for r in retrieval.grouped_collisions(marks, weights).collect()} == want and len(want) == 60 * 59 // 2
+
+
+def test_fits_of_lists_equal_fits_of_rows(spark):
+    """Fits on arrays give those of aggregates; matches are neither exploded nor sorted."""
+    from overlapse import queries as Q
+    from overlapse.operators.fits import fit_pairs
+
+    rng = np.random.default_rng(9)
+    rows = [x for i in range(12) for x in matches(rng, f"p{i}", i, 1, 20 + i, 15, 0, 100, i % 3 > 0) + matches(rng, f"p{i}", i // 2 * 7, 1, 18, 5, 0, 60, i % 2 > 0)]
+    df = spark.createDataFrame([(*r[:4], float(rng.uniform(0.5, 2)), r[5]) for r in rows], "a string, b string, ta double, tb double, w double, is_audio boolean")
+    for cfg in (AlignConfig(), AlignConfig(scale_search=True)):
+        cols = ["alpha", "beta", "mass", "n", "v", "a_n", "span", "rstd", "piecewise"]
+        want, got = ({(r.a, r.b, r.channel): [r[c] for c in cols] for r in f.collect()} for f in (align.fit_offset(align.channels(df), cfg), fit_pairs(df, cfg)))
+        assert set(want) == set(got) and any(x[-1] for x in want.values())
+        for k in want:
+            assert got[k] == pytest.approx(want[k], abs=1e-9), k
+    plan = Q.queries()["time_scales"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Generate", "Window", "Sort"))
