@@ -544,3 +544,41 @@ def test_fits_of_lists_equal_fits_of_rows(spark):
             assert got[k] == pytest.approx(want[k], abs=1e-9), k
     plan = Q.queries()["time_scales"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Generate", "Window", "Sort"))
+
+
+def test_meeting_in_blocks_equals_joins(spark, monkeypatch):
+    """Counts, candidates and fits of files that meet in many small blocks, against joins and aggregates of all matches."""
+    from overlapse.operators import meeting
+
+    rng = np.random.default_rng(12)
+    rows = [(int(c), int(h), float(t), bool(h % 4 > 0)) for c in range(40) for t, h in enumerate(rng.integers(0, 30, 14))]
+    rows += [(c, 100 + i, float(i + c), i % 2 > 0) for c in (50, 51, 52) for i in range(30)]
+    marks = spark.createDataFrame(rows, "cid long, hash long, t double, is_audio boolean")
+    files = lambda x: F.sort_array(F.collect_list(F.struct("cid", x.alias("x")))).alias("files")
+    lists = marks.groupBy("hash", "is_audio").agg(files(F.col("t")), (F.col("hash") % 3 + 0.5).alias("w")).withColumn("hashes", F.lit(1).cast("long"))
+    counts = marks.groupBy("hash", "is_audio", "cid").agg(F.count("*").cast("double").alias("k")).groupBy("hash", "is_audio").agg(files(F.col("k")), (F.col("hash") % 3 + 0.5).alias("w")).withColumn("hashes", F.lit(1).cast("long"))
+    x, y = (marks.select(F.col("cid").alias(c), "hash", "is_audio", F.col("t").alias(t)) for c, t in (("a", "ta"), ("b", "tb")))
+    met = x.join(y, ["hash", "is_audio"]).filter("a < b").withColumn("w", F.col("hash") % 3 + 0.5)
+    votes = met.groupBy("a", "b", "is_audio").agg(F.count("*").alias("n"), F.sum("w").alias("mass"))
+    monkeypatch.setattr(meeting, "COLLISIONS_A_TASK", 300)
+    dealt = meeting.deal(lists)
+    assert dealt.select("task").distinct().count() > 20
+    got = {(r.a, r.b, r.is_audio): (r.n, r.mass) for r in meeting.counted(meeting.deal(counts)).collect()}
+    assert got == {(r.a, r.b, r.is_audio): (r.n, r.mass) for r in votes.collect()}
+    cfg = CandidateConfig(min_vote_mass=12.0, min_shared_audio_hashes=12)
+    want = retrieval.candidates(votes, cfg)
+    pairs = {(r.a, r.b): (r.n_audio, r.n_visual, round(r.mass, 6)) for r in want.collect()}
+    assert 3 <= len(pairs) < votes.select("a", "b").distinct().count()
+    assert {(r.a, r.b): (r.n_audio, r.n_visual, round(r.mass, 6)) for r in meeting.candidates(meeting.deal(counts), cfg).collect()} == pairs
+    cols = ["alpha", "beta", "mass", "n", "v", "a_n", "span", "rstd", "piecewise"]
+    fits = align.fit_offset(align.channels(met.join(want.select("a", "b"), ["a", "b"], "left_semi")), AlignConfig())
+    fits, found = ({(r.a, r.b, r.channel): [r[c] for c in cols] for r in f.collect()} for f in (fits, meeting.fitted(dealt, cfg, AlignConfig())))
+    assert set(fits) == set(found) and all(found[k] == pytest.approx(fits[k], abs=1e-6) for k in fits)
+    # parts of few matches hold whole pairs
+    table = meeting.deal(lists).limit(60).toArrow()
+    whole = sorted(zip(*(x.tolist() for x in next(iter(meeting._collisions(table)))[1:])))
+    monkeypatch.setattr(meeting, "MATCHES_AT_ONCE", 5)
+    parts = [list(zip(*(x.tolist() for x in p[1:]))) for p in meeting._collisions(table)]
+    assert len(parts) > 5 and sorted(sum(parts, [])) == whole
+    of = [{r[:2] for r in p} for p in parts]
+    assert sum(map(len, of)) == len(set().union(*of))
