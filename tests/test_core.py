@@ -582,3 +582,46 @@ def test_meeting_in_blocks_equals_joins(spark, monkeypatch):
     assert len(parts) > 5 and sorted(sum(parts, [])) == whole
     of = [{r[:2] for r in p} for p in parts]
     assert sum(map(len, of)) == len(set().union(*of))
+
+
+def test_gathered_pairs_equal_joins(spark, monkeypatch):
+    """Verdicts of hashes that meet in lists, near ones included, against joins and aggregates of all evidence."""
+    from overlapse.operators import meeting
+    from overlapse.plans import engine
+
+    rng = np.random.default_rng(14)
+    ids = [f"f{i:02d}" for i in range(30)] + ["x", "y"]
+    film = rng.integers(1, 1 << 62, (3, 60))
+    marks, frames = [], []
+    for i, cid in enumerate(ids):
+        # clips of three films, some frames a bit off, some seconds twice, some without sound
+        start, length = int(rng.integers(0, 40)), int(rng.integers(8, 20))
+        for k, t in enumerate(range(start, start + length)):
+            h = int(film[i % 3][t])
+            frames.append((cid, float(k), [], h ^ (1 << int(rng.integers(0, 60))) if rng.random() < 0.4 else h))
+            if i % 5:
+                marks.append((cid, 0, h % (1 << 40), float(k)))
+        frames += [(cid, 40.0, [], 5), (cid, 41.0, [], None)]
+        marks += [(cid, 0, 77, 50.0)] * (1 + i % 2)
+    # frames of x that many files are near to, those of y to x alone: the pair is a candidate from y, not from x
+    for k, h in enumerate(rng.integers(1, 1 << 62, 10)):
+        frames += [(cid, 60.0 + k, [], int(h) ^ flip) for cid, flip in [("x", 0), ("y", 3), *[(f"f0{j}", 3 << 2 * j) for j in range(1, 7)]]]
+    sch = {k: s for k, (s, _) in CATALOG.items()}
+    p = engine.Primitives(
+        files=spark.createDataFrame([(i, f"/{i}", 100, 0.0, "{}", 0.0) for i in ids], sch["file"]), stream_meta=None, quality=None,
+        audio_meta=spark.createDataFrame([(i, k % 5 > 0, 0, [], 0) for k, i in enumerate(ids)], sch["audio_meta"]),
+        landmarks=spark.createDataFrame(marks, "cid string, track int, hash long, t double"),
+        descriptors=spark.createDataFrame(frames, "cid string, t double, vec array<double>, phash long"),
+    )
+    cfg = Config.load(overrides={"candidate": {"hamming_max": 2, "min_vote_mass": 13.0, "min_shared_audio_hashes": 10}, "align": {"min_span": 2.0}})
+    flags = p.audio_meta.select(F.col("content_id").alias("cid"), "has_audio")
+    want = {(r.a, r.b): r for r in align.verify(engine.vector_fits(p, cfg, len(ids)), cfg.align, flags).collect()}
+    assert {r.modality for r in want.values()} >= {"both", "visual"} and len(want) > 30 and ("y", "x") in want
+    # several rounds and tasks, over which most files are spread
+    monkeypatch.setattr(meeting, "MARKS_A_ROUND", 700)
+    monkeypatch.setattr(meeting, "MARKS_A_TASK", 20)
+    got = {(r.a, r.b): r for r in engine.match(p, cfg).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        for c, x in r.asDict().items():
+            assert got[k][c] == (pytest.approx(x, abs=1e-9) if isinstance(x, float) else x), (k, c)
