@@ -625,3 +625,58 @@ def test_gathered_pairs_equal_joins(spark, monkeypatch):
     for k, r in want.items():
         for c, x in r.asDict().items():
             assert got[k][c] == (pytest.approx(x, abs=1e-9) if isinstance(x, float) else x), (k, c)
+
+
+def _shared_by_joins(spark, docs, n):
+    """Votes of the shingles and lines of ``docs`` (doc_id, text) by plain joins."""
+    out = []
+    for marks, is_audio in ((landmarks.shingles(docs), True), (landmarks.line_landmarks(docs), False)):
+        w = retrieval.document_frequency(marks, n)
+        out.append(retrieval.grouped_collisions(marks, w).withColumn("is_audio", F.lit(is_audio)))
+    return out[0].unionByName(out[1])
+
+
+def test_crossed_blocks_equal_joins(spark, monkeypatch):
+    from overlapse.operators import crossing
+
+    r = random.Random(3)
+    phrases = [" ".join(r.choices("abcdefgh", k=r.randint(1, 9))) for _ in range(25)]
+    rows = [(r.randrange(45), "".join(p + r.choice([" ", "\n", "\t ", "\x0b", "\r\n", "  "]) for p in r.choices(phrases, k=r.randint(0, 8)))) for _ in range(70)]
+    rows += [(None, rows[0][1]), (900, None), (901, ""), (902, rows[1][1] * 3), (903, "é ü ñ ß ø\n"), (904, "é ü ñ ß ø")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(rows)
+    joined = _shared_by_joins(spark, docs.filter("doc_id is not null"), n)
+    want = {(x.a, x.b, x.is_audio): (x.n, round(x.mass, 6)) for x in joined.collect()}
+    assert {k[2] for k in want} == {True, False} and len(want) > 100
+    monkeypatch.setattr(crossing, "MARKS_A_PART", 150)
+    monkeypatch.setattr(crossing, "FILES_A_BLOCK", 9)
+    blocked = crossing.blocks(crossing.shared_lists(docs.select(F.col("doc_id").alias("cid"), "text")), n, 1.0)
+    assert blocked.count() > 5
+    got = crossing.votes(blocked)
+    found = got.collect()
+    assert len(found) == len(want) and {(x.a, x.b, x.is_audio): (x.n, round(x.mass, 6)) for x in found} == want
+    # no row is shuffled for a pair
+    assert "CartesianProduct" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in plan
+    cfg = CandidateConfig(min_vote_mass=9.0)
+    pairs = {(x.a, x.b): (x.n_audio, x.n_visual, round(x.mass, 6)) for x in retrieval.candidates(joined, cfg).collect()}
+    assert 3 < len(pairs) and {(x.a, x.b): (x.n_audio, x.n_visual, round(x.mass, 6)) for x in crossing.candidates(blocked, cfg).collect()} == pairs
+    ends = [x for p in retrieval.blocking_pairs(joined, cfg).collect() for x in p]
+    nodes = [x.node for x in crossing.blocking_nodes(blocked, cfg).collect()]
+    assert len(nodes) == len(set(nodes)) and set(nodes) == set(ends)
+
+    def pairs_of(block):
+        return sorted((a, b, *n, *(round(x, 6) for x in m)) for part in crossing._met(block, block, True) for a, b, n, m in zip(*(x.tolist() for x in part)))
+
+    block = {c: np.frombuffer(blocked.first()[c], t) for c, t in crossing.TYPES.items()}
+    whole = pairs_of(block)
+    monkeypatch.setattr(crossing, "FILES_AT_ONCE", 2)
+    monkeypatch.setattr(crossing, "COLLISIONS_AT_ONCE", 3)
+    assert len(whole) > 5 and pairs_of(block) == whole
+
+
+def test_pairs_of_documents_are_not_shuffled(spark):
+    from overlapse import queries as Q
+
+    for name in ("candidate_pairs", "shared_landmark_counts"):
+        plan = Q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
