@@ -667,7 +667,8 @@ def test_crossed_blocks_equal_joins(spark, monkeypatch):
     def pairs_of(block):
         return sorted((a, b, *n, *(round(x, 6) for x in m)) for part in crossing._met(block, block, True) for a, b, n, m in zip(*(x.tolist() for x in part)))
 
-    block = {c: np.frombuffer(blocked.first()[c], t) for c, t in crossing.TYPES.items()}
+    one = blocked.first()
+    block = crossing._unpacked(one.marks, bytes(one.packed))
     whole = pairs_of(block)
     monkeypatch.setattr(crossing, "FILES_AT_ONCE", 2)
     monkeypatch.setattr(crossing, "COLLISIONS_AT_ONCE", 3)
