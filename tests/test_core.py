@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 import numpy as np
@@ -627,6 +628,30 @@ def test_gathered_pairs_equal_joins(spark, monkeypatch):
             assert got[k][c] == (pytest.approx(x, abs=1e-9) if isinstance(x, float) else x), (k, c)
 
 
+def test_tables_of_decisions_go_and_rounds_change_nothing(spark, monkeypatch, tmp_path):
+    """Decisions alone leave one written table; of many marks, nodes and edges a part is handled at a time."""
+    from overlapse import queries as Q
+    from overlapse.operators import meeting
+    from overlapse.workspace import scratch_dir
+
+    for name, rows, columns in (("customer", [(i,) for i in range(8)], "c_custkey long"), ("supplier", [(i,) for i in range(3)], "s_suppkey long"), ("orders", [(i, i * 7 % 9) for i in range(40)], "o_orderkey long, o_custkey long")):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {(f"c{i}", f"c{i}", 0.0, 60.0, "keep", "") for i in range(8)} | {(f"s{i}", f"s{i}", 0.0, 60.0, "keep", "") for i in range(3)}
+    want |= {(f"c{i * 7 % 9}", f"o{i}", i % 30.0, i % 30.0 + i % 15 + 12, "prune", f"c{i * 7 % 9}") for i in range(40) if i * 7 % 9 < 8}
+    for module, name, value in ((meeting, "LEAST_MARKS", 300), (meeting, "ROUNDS", 2), (meeting, "PARTS", 2), (timeline, "NODES_A_ROUND", 20), (timeline, "EDGES_APART", 10)):
+        monkeypatch.setattr(module, name, value)
+    asked, write = [], timeline.materialise
+    monkeypatch.setattr(timeline, "materialise", lambda df, name, *more: asked.append(name) or write(df, name, *more))
+    root = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    got = Q.queries()["run_decisions"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert asked.count("timeline") == asked.count("cluster-edges") == 2
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before] == ["decisions"]
+    monkeypatch.setattr(meeting, "LEAST_MARKS", 5000)
+    assert [meeting._pieces(n, 100_000, 4) for n in (0, 4999, 16_000, 90_000, 1_600_000)] == [1, 1, 3, 4, 16]
+
+
 def _shared_by_joins(spark, docs, n):
     """Votes of the shingles and lines of ``docs`` (doc_id, text) by plain joins."""
     out = []
