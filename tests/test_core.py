@@ -652,6 +652,21 @@ def test_tables_of_decisions_go_and_rounds_change_nothing(spark, monkeypatch, tm
     assert [meeting._pieces(n, 100_000, 4) for n in (0, 4999, 16_000, 90_000, 1_600_000)] == [1, 1, 3, 4, 16]
 
 
+def test_a_table_built_on_itself_goes(spark):
+    """A union of one table is that table: ``remove`` deletes it and ends, as in ``run_decisions`` on few marks."""
+    from overlapse import queries as Q
+    from overlapse.workspace import built_on, materialise, remove
+
+    one = materialise(spark.range(3).toDF("x"), "one")
+    path = one.scratch_path.removeprefix("file://")
+    every = built_on(one, [one])
+    assert os.path.isdir(path) and every.count() == 3
+    remove(every)
+    assert not os.path.exists(path)
+    # one round, in which no file strays
+    assert Q.queries()["run_decisions"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def _shared_by_joins(spark, docs, n):
     """Votes of the shingles and lines of ``docs`` (doc_id, text) by plain joins."""
     out = []
