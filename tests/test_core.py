@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from overlapse.config import AlignConfig, CandidateConfig, Config, DecideConfig
+from overlapse.config import TEXT, AlignConfig, CandidateConfig, Config, DecideConfig
 from overlapse.functions import image, scalar, signal
 from overlapse.operators import align, decide, graph, landmarks, quality, retrieval, skyline, timeline
 from overlapse.schemas import CATALOG, SEGMENT
@@ -715,6 +715,53 @@ def test_crossed_blocks_equal_joins(spark, monkeypatch):
     assert len(whole) > 5 and pairs_of(block) == whole
 
 
+def test_fits_of_crossed_blocks_equal_joins(spark, monkeypatch):
+    """Fits of documents where blocks of timed marks meet, against aggregates of all evidence; no row is shuffled for a pair."""
+    from overlapse import queries as Q
+    from overlapse.operators import crossing
+
+    r = random.Random(4)
+    phrases = [" ".join(r.choices("abcdefghijkl", k=r.randint(3, 9))) for _ in range(20)]
+    rows = [(i, "".join(p + r.choice([" ", "\n", "\t ", "\x0b", "\r\n", "  "]) for p in r.choices(phrases, k=r.randint(0, 14)))) for i in range(45)]
+    rows += [(None, rows[0][1]), (900, None), (901, ""), (902, rows[1][1] * 3), (903, rows[2][1]), (904, "é ü ñ ß ø\n" * 7), (905, "x y\n" + "é ü ñ ß ø\n" * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n, known, cfg = len(rows), docs.filter("doc_id is not null"), CandidateConfig(min_vote_mass=9.0)
+    pairs = retrieval.candidates(_shared_by_joins(spark, known, n), cfg).select("a", "b").localCheckpoint()
+    both = ((landmarks.shingles(known), True), (landmarks.line_landmarks(known), False))
+    met = [retrieval.matched(m, retrieval.document_frequency(m, n), pairs, is_audio) for m, is_audio in both]
+    cols = ["alpha", "beta", "mass", "n", "v", "a_n", "span", "rstd", "piecewise"]
+    monkeypatch.setattr(crossing, "MARKS_A_PART", 150)
+    monkeypatch.setattr(crossing, "FILES_A_BLOCK", 9)
+    blocked = crossing.timed_blocks(docs.select(F.col("doc_id").alias("cid"), "text"), n)
+    assert blocked.count() > 4
+    fits = align.fit_offset(align.channels(met[0].unionByName(met[1])), TEXT.align), crossing.fitted(blocked, n, cfg, TEXT.align)
+    want, got = ({(x.a, x.b, x.channel): [x[c] for c in cols] for x in f.collect()} for f in fits)
+    assert {k[2] for k in want} == {"fused", "audio", "visual"} and len(want) > 100 and set(got) == set(want)
+    for k, x in want.items():
+        assert got[k] == pytest.approx(x, abs=1e-6), k
+    # parts of few matches hold whole pairs
+    one = max(blocked.collect(), key=lambda x: x.marks)
+    block = crossing._unpacked(one.marks, bytes(one.packed), crossing.TIMED)
+    every = sorted(zip(*(x.tolist() for x in next(crossing._matches(block, block, True))[1:])))
+    monkeypatch.setattr(crossing, "FITTED_AT_ONCE", 5)
+    parts = [list(zip(*(x.tolist() for x in p[1:]))) for p in crossing._matches(block, block, True)]
+    assert len(parts) > 5 and sorted(sum(parts, [])) == every
+    of = [{x[:2] for x in p} for p in parts]
+    assert sum(map(len, of)) == len(set().union(*of))
+    monkeypatch.undo()
+    for name in ("offset_peak", "offset_refine", "modality_decisions", "verdict_rows"):
+        plan = Q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan, name
+
+
+def test_texts_without_marks_make_no_pairs(spark):
+    from overlapse.operators import crossing
+
+    docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "cid long, text string")
+    assert crossing.votes(crossing.blocks(crossing.shared_lists(docs), 3, 1.0)).count() == 0
+    assert crossing.fitted(crossing.timed_blocks(docs, 3), 3, TEXT.candidate, TEXT.align).count() == 0
+
+
 def test_pairs_of_documents_are_not_shuffled(spark):
     from overlapse import queries as Q
 
