@@ -731,7 +731,7 @@ def test_fits_of_crossed_blocks_equal_joins(spark, monkeypatch):
     met = [retrieval.matched(m, retrieval.document_frequency(m, n), pairs, is_audio) for m, is_audio in both]
     cols = ["alpha", "beta", "mass", "n", "v", "a_n", "span", "rstd", "piecewise"]
     monkeypatch.setattr(crossing, "MARKS_A_PART", 150)
-    monkeypatch.setattr(crossing, "FILES_A_BLOCK", 9)
+    monkeypatch.setattr(crossing, "FITTED_FILES", 9)
     blocked = crossing.timed_blocks(docs.select(F.col("doc_id").alias("cid"), "text"), n)
     assert blocked.count() > 4
     fits = align.fit_offset(align.channels(met[0].unionByName(met[1])), TEXT.align), crossing.fitted(blocked, n, cfg, TEXT.align)
